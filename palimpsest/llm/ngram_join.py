@@ -16,7 +16,8 @@ and the rest are verified on the whole sets.
 
 Groups.  First every class meets the smallest class of its index entry (a frequent entry
 is salted, and the leaders of the salts meet in turn), which joins a group of near
-copies in linear work.  Then, for completeness, entries whose classes are still in
+copies in linear work; then, ROUNDS times, drawn members of an entry's components meet.
+Then, for completeness, entries whose classes are still in
 several components pair the classes of different components.  Pairs inside a component
 need no test.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -45,6 +46,7 @@ FREQUENT = 16
 MOST_FREQUENT = 2_000_000
 PAIR_SIZE = 320
 SALTS = 64
+ROUNDS = 2
 #: Bits of the filter that spares shuffling the sets of documents without candidates; a fixed size.
 BLOOM_BITS = 1 << 23
 #: Shingles counted by one group of the counting shuffle.
@@ -166,59 +168,87 @@ def frequent_shingles(docs: DataFrame, k: int, total: int) -> np.ndarray:
     return np.sort(rows.to_numpy(np.int64).astype(U64))
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int, pair_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The index keys of a sorted set, those of rare shingles and those of frequent ones."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int, pair_size: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The index keys of a sorted set and the places of their first shingles in the order: of rare ones, of frequent
+    ones.  Then the frequent shingles that are combined, and for each frequent key which two of them it has (-1: none)."""
     n = len(s)
     prefix = n - least_overlap(n, percent) + 1
     token = s >> _SHIFT
     at = np.searchsorted(frequent, token)
     often = frequent[np.minimum(at, len(frequent) - 1)] == token if len(frequent) else np.zeros(n, bool)
     rare, freq = s[~often], s[often]
-    single = rare[:prefix]
-    keys = []
-    if len(rare) < prefix + 1 and len(freq):
+    r = len(rare)
+    none = np.zeros(0, np.int64)
+    keys, places, firsts, seconds, front = [freq[:0]], [none], [none], [none], freq[:0]
+    if r < prefix and len(freq):
         if n <= pair_size * 100 // percent + 1:
-            f = freq[: prefix + 1 - len(rare)]
-            i, j = np.triu_indices(len(f), 1)
+            front = freq[: prefix + 1 - r]
+            i, j = np.triu_indices(len(front), 1)
             with np.errstate(over="ignore"):
-                keys.append(mix(f[i] * U64(0x9E3779B97F4A7C15) + mix(f[j] + U64(7))))
+                keys.append(mix(front[i] * U64(0x9E3779B97F4A7C15) + mix(front[j] + U64(7))))
+            places.append(r + i)
+            firsts.append(i)
+            seconds.append(j)
         if n > pair_size:
-            keys.append(freq[: max(0, prefix - len(rare))])
-    return single, np.concatenate(keys) if keys else freq[:0]
+            keys.append(freq[: prefix - r])
+            places.append(np.arange(r, r + len(keys[-1])))
+            firsts.append(np.full(len(keys[-1]), -1))
+            seconds.append(np.full(len(keys[-1]), -1))
+    return (rare[:prefix], np.arange(min(r, prefix))), (np.concatenate(keys), np.concatenate(places)), front, np.concatenate(firsts), np.concatenate(seconds)
+
+
+POSTING = "key long, cls long, n long, place long, hot boolean, t1 long, t2 long, front array<long>"
+
+
+def _posting_rows(c: int, s: np.ndarray, frequent: np.ndarray, percent: int, pair_size: int) -> Iterator[list[pa.Array]]:
+    (rare, at), (freq, freq_at), front, first, second = index_keys(s, frequent, percent, pair_size)
+    order = (front >> U64(1)).astype(np.int64)  # not negative, so the signed order is the order of shingles
+    for keys, places, hot in ((rare, at, False), (freq, freq_at, True)):
+        n = len(keys)
+        if not n:
+            continue
+        if hot and len(order):
+            t1, t2 = pa.array(order[first], mask=first < 0), pa.array(order[second], mask=second < 0)
+            fronts = pa.array([order] + [None] * (n - 1), pa.list_(pa.int64()))
+        else:
+            t1 = t2 = pa.nulls(n, pa.int64())
+            fronts = pa.nulls(n, pa.list_(pa.int64()))
+        yield [pa.array(keys.astype(np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.full(n, len(s), np.int64)), pa.array(places.astype(np.int64)), pa.array(np.full(n, hot)), t1, t2, fronts]
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, pair_size: int) -> DataFrame:
+    """The index: an entry for each key and class, without keys of one class; front stands once a class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = [x.split()[0] for x in POSTING.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cls", "n", "hot"]
-
-        def flush() -> pa.RecordBatch:
-            counts = [len(x) for x in keys]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), counts)), pa.array(np.repeat(np.array(size, np.int64), counts)), pa.array(np.repeat(np.array(hot, bool), counts))], names)
+        def flush(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], names)
 
         for batch in batches:
-            keys, cls, size, hot, held = [], [], [], [], 0
+            parts, held = [], 0
             for c, s in _distinct_sets(batch.column(0), k):
-                for x, often in zip(index_keys(s, shared.value, percent, pair_size), (False, True), strict=True):
-                    if len(x):
-                        keys.append(x)
-                        cls.append(c)
-                        size.append(len(s))
-                        hot.append(often)
-                        held += len(x)
-                if held > 500_000:
-                    yield flush()
-                    keys, cls, size, hot, held = [], [], [], [], 0
-            if keys:
-                yield flush()
-
-    found = docs.select("text").mapInArrow(each, "key long, cls long, n long, hot boolean")
+                for rows in _posting_rows(c, s, shared.value, percent, pair_size):
+                    parts.append(rows)
+                    held += len(rows[0])
+                if held > 200_000:
+                    yield flush(parts)
+                    parts, held = [], 0
+            if parts:
+                yield flush(parts)
+
+    found = docs.select("text").mapInArrow(each, POSTING)
     found = found.withColumn("salt", F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "key", "salt").dropDuplicates(["key", "salt", "cls"])
     lead = F.expr("min(struct(n, cls)) over (partition by key, salt)")
-    return found.withColumn("lead", lead).withColumn("many", F.expr("count(*) over (partition by key, salt)")).where("hot or many > 1").select("key", "hot", "cls", "n", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"))
+    found = found.withColumn("lead", lead).withColumn("many", F.expr("count(*) over (partition by key, salt)")).where("hot or many > 1")
+    return found.select(*names, F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"))
+
+
+def _reaches(percent: int) -> Column:
+    """Whether the shingles from the shared one on can give the overlap that a link needs."""
+    return F.least("x_rest", "y_rest") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
@@ -285,6 +315,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     return materialize(both.mapInPandas(exact, "a long, b long"), "links")
 
 
+def _open(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The index entries whose classes are in several components, with the component of each class."""
+    placed = index.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")).drop("lead", "lead_n", "hot")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(split, "key", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, pair_size: int = PAIR_SIZE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -302,15 +339,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = materialize(_candidates(star, percent), "pairs")
     links = _verified(known, classes, tried, k, percent)
 
-    # Entries that still hold several components: pairs between those.
     found = connected_components(links).select(F.col("node").alias("cls"), "component")
-    placed = index.join(found, "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(placed.join(split, "key", "left_semi"), "open")
-    left = open_.select("key", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("cx"))
-    right = open_.select("key", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("cy"))
-    fits = (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-    rest = left.join(right, "key").where(fits).select("x", "x_n", "y", "y_n")
+
+    # In entries that still hold several components, one class of each, drawn anew for each entry,
+    # meets one of the largest there: whatever is near a large group meets many of its members.
+    for turn in range(ROUNDS):
+        heads = _open(index, found).groupBy("key", "component").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("key", "cls", F.lit(turn)).alias("r"), "cls", "n", (F.col("n") - F.col("place")).alias("rest"))).alias("m"))
+        top = F.expr("max(struct(held, m)) over (partition by key)").getField("m")
+        star = heads.select("m", top.alias("t")).select(F.col("m.cls").alias("x"), F.col("m.n").alias("x_n"), F.col("m.rest").alias("x_rest"), F.col("t.cls").alias("y"), F.col("t.n").alias("y_n"), F.col("t.rest").alias("y_rest"))
+        new = materialize(_candidates(star.where(_reaches(percent)), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            break
+        tried, more = tried.union(new), _verified(known, classes, new, k, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        found = connected_components(links).select(F.col("node").alias("cls"), "component")
+
+    # Then pairs of classes of different components, each at the first entry that they share.
+    fronts = index.where("front is not null").select("cls", "front").dropDuplicates(["cls"])
+    open_ = materialize(_open(index, found).drop("front").join(fronts, "cls", "left").withColumn("front", F.when(F.col("t1").isNotNull(), F.col("front"))), "open")
+    side = lambda c: open_.select("key", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_in"), (F.col("n") - F.col("place")).alias(f"{c}_rest"), F.col("front").alias(f"{c}_front"), *([F.col("t1"), F.col("t2")] if c == "x" else []))
+    fits = (F.col("x_in") != F.col("y_in")) & (F.col("x") < F.col("y")) & _reaches(percent)
+    first = F.expr("x_front is null or y_front is null or slice(array_sort(array_intersect(x_front, y_front)), 1, 2) = array(t1, t2)")
+    rest = side("x").join(side("y"), "key").where(fits & first).select("x", "x_n", "y", "y_n")
     rest = materialize(_candidates(rest, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = _verified(known, classes, rest, k, percent)
