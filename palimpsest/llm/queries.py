@@ -13,6 +13,7 @@ from .fixity import audit, leaves, warc_records
 from .language import identify
 from .mixing import take
 from .ngram_join import jaccard_components
+from .pseudo_likelihood import pseudo_likelihood
 from .secrets import find_secrets, secret_digest
 from .session import table
 from .toxicity import toxicity_scores
@@ -84,6 +85,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
