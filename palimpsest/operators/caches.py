@@ -1,0 +1,79 @@
+"""Simulation of the caches over a table of accesses, for their hit counts; data are read exactly, never from here."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..schema import BUFFER_POOL_PAGES
+
+
+class BufferPool:
+    """One version a page; usable for a read point if as new; the least used page goes, of equals the smallest id."""
+
+    def __init__(self, capacity: int = BUFFER_POOL_PAGES):
+        self.capacity, self.held = capacity, {}
+
+    def get(self, page_id: int, least_lsn: int) -> int | None:
+        entry = self.held.get(page_id)
+        if entry is None or entry[0] < least_lsn:
+            return None
+        entry[1] += 1
+        return entry[0]
+
+    def insert(self, page_id: int, read_point: int) -> int | None:
+        """Returns the page that had to go."""
+        out = None
+        if page_id not in self.held and len(self.held) >= self.capacity:
+            out = min(self.held, key=lambda p: (self.held[p][1], p))
+            del self.held[out]
+        self.held[page_id] = [read_point, 0]
+        return out
+
+    def invalidate(self, page_id: int) -> None:
+        self.held.pop(page_id, None)
+
+
+def buffer_pool_hits(accesses: DataFrame, capacity: int = BUFFER_POOL_PAGES) -> DataFrame:
+    """(node, step, page_id, hit, evicted) over (node, step, op, page_id, read_point); op is get or put, in step order.
+
+    A node's pool is a sequence by nature: a node is a session, and its steps go through one task.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        pool, out = BufferPool(capacity), []
+        for r in rows.sort_values("step").itertuples(index=False):
+            if r.op == "put":
+                pool.invalidate(r.page_id)
+                continue
+            hit = pool.get(r.page_id, r.read_point) is not None
+            gone = None if hit else pool.insert(r.page_id, r.read_point)
+            out.append((r.node, r.step, r.page_id, hit, gone))
+        frame = pd.DataFrame(out, columns=["node", "step", "page_id", "hit", "evicted"])
+        frame["evicted"] = frame["evicted"].astype("Int64")
+        return frame
+
+    return accesses.groupBy("node").applyInPandas(run, "node string, step long, page_id long, hit boolean, evicted long")
+
+
+def page_cache_hits(reads: DataFrame) -> DataFrame:
+    """(step, page_id, read_point, hit): a read hits iff the same page and read point were read before; without eviction."""
+    first = reads.groupBy("page_id", "read_point").agg(F.min("step").alias("_first"))
+    return reads.join(first, ["page_id", "read_point"]).select("step", "page_id", "read_point", (F.col("step") > F.col("_first")).alias("hit"))
+
+
+def staleness(steps: DataFrame) -> DataFrame:
+    """(step, node, read_point, behind) for each get over (step, node, op, vdl): vdl is the log's after the step.
+
+    A node's own puts and refreshes move its read point; behind is what the log is ahead of it.
+    """
+    moved = F.when(F.col("op").isin("put", "refresh"), F.col("vdl"))
+    point = F.coalesce(F.last(moved, ignorenulls=True).over(_by_node()), F.lit(0))
+    return steps.withColumn("read_point", point).where("op = 'get'").select("step", "node", "read_point", (F.col("vdl") - F.col("read_point")).alias("behind"))
+
+
+def _by_node():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("node").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)

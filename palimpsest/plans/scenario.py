@@ -1,0 +1,68 @@
+"""Scripted workloads: TOML steps become a table of steps, and their outcome is computed for all steps at once."""
+
+from __future__ import annotations
+
+import tomllib
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import entry_bytes
+from ..operators.caches import buffer_pool_hits, page_cache_hits, staleness
+from ..schema import BUFFER_POOL_PAGES, PAGE_SIZE, PageOverflow
+
+STEPS = "step long, op string, node string, page_id long, offset int, data binary, value long"
+
+
+def flatten(steps: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The steps with repeats written out."""
+    out = []
+    for s in steps:
+        if s["op"] == "repeat":
+            out += flatten(s["steps"]) * int(s["count"])
+        else:
+            out.append(s)
+    return out
+
+
+def load(spark: SparkSession, text: str) -> DataFrame:
+    """The table of steps of a scenario; the node is A where none is named."""
+    rows = []
+    for i, s in enumerate(flatten(tomllib.loads(text).get("steps", []))):
+        data = s.get("data")
+        rows.append((i, s["op"], s.get("node", "A"), s.get("page", s.get("page_id")), s.get("offset"), bytearray(data.encode()) if data is not None else None, s.get("ms")))
+    return spark.createDataFrame(rows, STEPS)
+
+
+def run(steps: DataFrame, capacity: int = BUFFER_POOL_PAGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log, results, metrics) of a scenario on a fresh log with the nodes' read points at 0.
+
+    Each put is a group of its own. A get that finds nothing is a result with status not_found; a put beyond its page ends the run.
+    """
+    puts = steps.where("op = 'put'")
+    bad = puts.where(F.col("offset") + F.octet_length("data") > PAGE_SIZE).orderBy("step").first()
+    if bad:
+        raise PageOverflow(bad["page_id"], bad["offset"], len(bad["data"]))
+    order = "over (order by step rows between unbounded preceding and current row)"
+    lsn = F.expr(f"sum(if(op = 'put', 1, 0)) {order}")
+    timed = steps.withColumn("vdl", lsn)
+    log = timed.where("op = 'put'").select(F.col("vdl").alias("lsn"), "page_id", "offset", "data", F.lit(True).alias("is_mtr_end"), F.col("vdl").alias("batch_id"), "node", F.expr("row_number() over (partition by node order by step)").cast("long").alias("mtr_id"), "step")
+    log = log.withColumn("prev_lsn", F.expr("coalesce(lag(lsn) over (partition by page_id order by lsn), 0)"))
+    points = staleness(timed).join(steps.select("step", "page_id"), "step")
+    chains = points.join(log.select(F.col("page_id").alias("p"), F.col("lsn")), (F.col("page_id") == F.col("p")) & (F.col("lsn") <= F.col("read_point")), "left")
+    found = chains.groupBy("step", "node", "page_id", "read_point", "behind").agg(F.count("lsn").alias("chain_len"))
+    gets = found.withColumn("status", F.when(F.col("chain_len") == 0, "not_found").otherwise("ok"))
+    # A node's pool sees its gets that return a page, and its own puts.
+    ok = gets.where("status = 'ok'").select("node", "step", F.lit("get").alias("op"), "page_id", "read_point")
+    seen = ok.union(log.select("node", "step", F.lit("put"), "page_id", F.col("lsn")))
+    pool = buffer_pool_hits(seen, capacity).select("step", F.col("hit").alias("buffer_hit"))
+    misses = gets.join(pool, "step", "left").where("status = 'ok' and not buffer_hit").select("step", "page_id", "read_point")
+    cache = page_cache_hits(misses).select("step", F.col("hit").alias("cache_hit"))
+    results = gets.join(pool, "step", "left").join(cache, "step", "left")
+    wrote = log.agg(F.count("*").alias("writes"), F.coalesce(F.sum(entry_bytes(F.col("data"))), F.lit(0)).alias("log_bytes"), F.coalesce(F.max("lsn"), F.lit(0)).alias("vcl"))
+    read = results.agg(
+        F.count_if("not coalesce(buffer_hit, false)").alias("reads"), F.count_if("buffer_hit").alias("buffer_hits"), F.count_if("cache_hit").alias("cache_hits"),
+        F.count_if("not cache_hit").alias("cache_misses"), F.count_if("not cache_hit").alias("materializations"), F.coalesce(F.sum(F.expr("if(not cache_hit, chain_len, 0)")), F.lit(0)).alias("records_replayed"),
+    )
+    return log, results, wrote.join(read).withColumn("vdl", F.col("vcl"))
