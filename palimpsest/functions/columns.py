@@ -55,7 +55,7 @@ def zero_page() -> Column:
 def page_text(page: Column, most: int | None = None) -> Column:
     """The page's bytes up to the first NUL as text, broken sequences replaced; ``(empty page)`` if there are none."""
     cut = page if most is None else F.substring(page, 1, most)
-    text = F.substring_index(F.make_valid_utf8(cut.cast("string")), F.chr(F.lit(0)), 1)
+    text = F.substring_index(F.make_valid_utf8(cut.cast("string")), "\0", 1)
     return F.when(F.hex(F.substring(page, 1, 1)) == "00", F.lit("(empty page)")).otherwise(text)
 
 

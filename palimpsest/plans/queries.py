@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import caches, durability, log, pages, segments, trace
-from ..sources.derived import events_log, lineitem_writes, linked_events_log
+from ..sources.derived import events_log, events_stream, lineitem_writes, linked_events_log
+from ..sources.wal import decode_segments, encode_segments
+from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -404,3 +406,28 @@ def trace_tail(spark, d):
 @query(f"{REDO} SELECT format('DurabilityState(VCL={{}}, VDL={{}})', max(lsn), max(lsn) FILTER (WHERE is_mtr_end)) AS state FROM redo")
 def state_display(spark, d):
     return durability.live_state(events_log(spark, d)).select(C.state_display(F.col("vcl"), F.col("vdl")).alias("state"))
+
+
+@query(f"{REDO} SELECT lsn, page_id, \"offset\", hex(encode(data)) AS data_hex, coalesce(lag(lsn) OVER (PARTITION BY page_id ORDER BY lsn), 0) AS prev_lsn, batch_id AS mtr_id, is_mtr_end, 41 + n AS entry_bytes FROM redo")
+def wal_roundtrip(spark, d):
+    """The log as binary segments and read back."""
+    files = encode_segments(segments.assign_segments(linked_events_log(spark, d), SEGMENT))
+    return decode_segments(files).select("lsn", "page_id", "offset", F.hex("data").alias("data_hex"), "prev_lsn", "mtr_id", "is_mtr_end", "entry_bytes")
+
+
+# Streams, drained
+
+
+@query(f"{REDO} SELECT page_id, max(lsn) AS latest_lsn FROM redo GROUP BY 1")
+def stream_page_index(spark, d):
+    return incremental.drained(incremental.page_index_stream(events_stream(spark, d)), ["page_id"])
+
+
+@query(f"{REDO} SELECT 0 AS k, count(*) AS records, max(lsn) AS last_lsn, max(lsn) FILTER (WHERE is_mtr_end) AS last_end FROM redo")
+def stream_durability(spark, d):
+    return incremental.drained(incremental.live_state_stream(events_stream(spark, d)).withColumn("k", F.lit(0)), ["k"])
+
+
+@query(f"{REDO}{IMAGES.format(log='redo', keys='page_id')} SELECT page_id, page_prefix, max(lsn) AS last_lsn, count(*) AS chain_len FROM img JOIN redo USING (page_id) GROUP BY ALL")
+def stream_pages(spark, d):
+    return _prefix(incremental.drained(incremental.pages_stream(events_stream(spark, d)), ["page_id"]))

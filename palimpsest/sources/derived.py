@@ -10,7 +10,16 @@ from ..operators.log import link_previous
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a log: an event is a record, a user a page, four events a group; without prev_lsn."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return _as_log(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
+
+
+def _as_log(e: DataFrame) -> DataFrame:
     return e.select(
         (F.col("event_id") + 1).alias("lsn"), F.col("user_id").alias("page_id"), ((F.col("event_id") % 16) * 8).cast("int").alias("offset"),
         F.col("event_type").cast("binary").alias("data"), F.floor(F.col("event_id") / 4 + 1).alias("batch_id"), F.floor(F.col("event_id") / 4 + 1).alias("mtr_id"),

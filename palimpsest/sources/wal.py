@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.columns import entry_crc, header, little_endian, segment_filename
 from ..schema import HEADER_BYTES
 
 HEADER = struct.Struct("<QQHHQQBI")
@@ -53,7 +54,22 @@ def segment_of(path: str) -> int | None:
 
 def read_wal(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The entries of one log file, a folder of segments, or several of them."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode_segments(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def encode_segments(placed: DataFrame) -> DataFrame:
+    """(path, content) of a log with segment_id: each segment's file, made by built-in functions.
+
+    A segment is bounded by its size in bytes, so its entries fit a group.
+    """
+    cols = [F.col(c) for c in ("lsn", "page_id", "offset", "data", "prev_lsn", "mtr_id", "is_mtr_end")]
+    entry = F.concat(header(*cols), little_endian(entry_crc(*cols), 4), F.col("data"))
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lsn", F.hex(entry).alias("entry")))), lambda x: x["entry"]), ""))
+    return placed.groupBy("segment_id").agg(whole.alias("content")).select(segment_filename(F.col("segment_id")).alias("path"), "content")
+
+
+def decode_segments(files: DataFrame) -> DataFrame:
+    """The entries of (path, content) rows, one file each."""
     names = [x.split()[0] for x in ENTRY.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import PAGE_SIZE
+from ..sources.shared import shared_path
 
 
 def page_index_stream(log: DataFrame) -> DataFrame:
@@ -55,6 +56,24 @@ def pages_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("page_id").transformWithStateInPandas(_Pages(), outputStructType="page_id bigint, page binary, last_lsn bigint, chain_len bigint", outputMode="Update", timeMode="None")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """What a streaming result amounts to once all input there is has gone through: the last row of each key."""
+    spark = stream.sparkSession
+    out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest if c != "_epoch"])
+
+
 class Vcl:
     """Contiguous completeness over micro-batches, for ``foreachBatch``: LSNs beyond a gap wait in a table until it is filled."""
 
