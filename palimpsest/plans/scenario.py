@@ -62,7 +62,7 @@ def run(steps: DataFrame, capacity: int = BUFFER_POOL_PAGES) -> tuple[DataFrame,
     results = gets.join(pool, "step", "left").join(cache, "step", "left")
     wrote = log.agg(F.count("*").alias("writes"), F.coalesce(F.sum(entry_bytes(F.col("data"))), F.lit(0)).alias("log_bytes"), F.coalesce(F.max("lsn"), F.lit(0)).alias("vcl"))
     read = results.agg(
-        F.count_if("not coalesce(buffer_hit, false)").alias("reads"), F.count_if("buffer_hit").alias("buffer_hits"), F.count_if("cache_hit").alias("cache_hits"),
-        F.count_if("not cache_hit").alias("cache_misses"), F.count_if("not cache_hit").alias("materializations"), F.coalesce(F.sum(F.expr("if(not cache_hit, chain_len, 0)")), F.lit(0)).alias("records_replayed"),
+        F.count_if(F.expr("not coalesce(buffer_hit, false)")).alias("reads"), F.count_if(F.col("buffer_hit")).alias("buffer_hits"), F.count_if(F.col("cache_hit")).alias("cache_hits"),
+        F.count_if(F.expr("not cache_hit")).alias("cache_misses"), F.count_if(F.expr("not cache_hit")).alias("materializations"), F.coalesce(F.sum(F.expr("if(not cache_hit, chain_len, 0)")), F.lit(0)).alias("records_replayed"),
     )
     return log, results, wrote.join(read).withColumn("vdl", F.col("vcl"))
