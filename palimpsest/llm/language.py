@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import materialize
 from .textops import chunks, text_buffers
 
 PER_LANGUAGE = 800
 BITS = 12
+MOST_BROADCAST = 10_000  # languages
 #: Families of languages by ISO 639-1 code; other languages are families of their own.
 FAMILIES = {
     "germanic": "af da de en is lb nl no sv yi",
@@ -133,7 +135,9 @@ class Model:
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of (doc_id, text, lang) rows."""
     train = train.where("lang is not null and text is not null and doc_id is not null")
-    counts = train.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")))
+    counts = materialize(train.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))), "languages")
+    # A row a language: broadcast, so that texts are not dealt by language; beyond the bound they are.
+    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < (F.col("share") * (1 << 20)).cast("long")
     chosen = train.join(counts.select("lang", "share"), "lang").where(drawn).select("lang", "text")
 
