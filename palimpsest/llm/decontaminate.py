@@ -39,6 +39,7 @@ from .session import materialize
 from .textops import U64, document_words, shingle_hashes
 
 RADIUS = 3
+SIZE_STEP = 1.15
 SEGMENT = 8192
 BLOCK_WINDOWS = 200_000
 SHIFTS = (0, -1, 1, -2, 2)
@@ -64,10 +65,18 @@ def intact_run(n: int, k: int, similarity: float) -> int:
 
 
 def window_of(n: int, k: int, similarity: float) -> tuple[int, int]:
-    """Fingerprint window and stride for items of n words."""
+    """Fingerprint window and stride for items of n words.
+
+    The window is what the stride leaves of the intact run, rounded down to one of a few sizes (SIZE_STEP apart),
+    so that items of many lengths share a pass of windows.
+    """
     run = intact_run(n, k, similarity)
     stride = min(4, max(1, run // 4))
-    return run - stride + 1, stride
+    size = most = run - stride + 1
+    step = 8.0
+    while step <= most:
+        size, step = int(step), step * SIZE_STEP
+    return size, stride
 
 
 class ItemBlock:
@@ -144,11 +153,16 @@ def matches(stream: np.ndarray, first: np.ndarray, block: ItemBlock, bags: list[
     tested: set[tuple[int, int]] = set()
     for known in block.classes:
         size, stride, held = known[:3]
+        if n < size:
+            continue
+        # All windows of the line, as views; those that cross a document's end are dropped.
+        prints = np.packbits(total[size::stride] > total[: n - size + 1 : stride], axis=1).view(np.uint64).ravel()
         at = np.arange(0, n - size + 1, stride)
-        at = at[doc[at] == doc[at + size - 1]] if len(at) else at
+        whole = doc[at] == doc[at + size - 1]
+        at, prints = at[whole], prints[whole]
         if not len(at):
             continue
-        for i, j in _within(_prints(total, at, size), known):
+        for i, j in _within(prints, known):
             for p, (item, offset) in zip(at[i].tolist(), held[j].tolist(), strict=True):
                 d, length = int(doc[p]), len(block.words[item])
                 for shift in SHIFTS:
