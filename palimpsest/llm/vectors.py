@@ -36,7 +36,7 @@ from .session import materialize
 
 SAMPLE = 8000
 PART = 250  # sample vectors in a part, about
-PROBE_RECALL = 0.93
+PROBE_RECALL = 0.96
 CELL = 4000
 NEIGHBOURS = 20
 
