@@ -128,17 +128,3 @@ def test_against_sql(spark, name):
     want = con.execute(queries.ORACLE_SQL[name]).df()[list(got.columns)]
     plain = lambda f: sorted(map(repr, f.astype(object).where(f.notna(), None).itertuples(index=False, name=None)))
     assert plain(got) == plain(want)
-
-
-def test_pipeline(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = [docs.count()]
-    for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, DATA)
-        out.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}")
-        docs = spark.read.parquet(path)
-        kept.append(docs.count())
-        if name != "mixing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert kept == sorted(kept, reverse=True) and kept[-1] > 100 and {"doc_id", "taken"} <= set(docs.columns)
