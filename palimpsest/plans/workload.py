@@ -1,0 +1,36 @@
+"""Generated workloads as tables of steps, for ``scenario.run``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FIRST_PAGE, READ_PAGES = 100, 10
+
+
+def steps(spark: SparkSession, kind: str, cycles: int, node: str = "A", first_step: int = 0, data: str = "background write") -> DataFrame:
+    """``write``: a put to page 100, 101, ...; ``read``: a refresh, then gets of pages 1 to 10 in turn on that
+    snapshot; ``mixed``: refresh and get in turn."""
+    i = F.col("id")
+    if kind == "write":
+        op, page = F.lit("put"), i + FIRST_PAGE
+    elif kind == "read":
+        op, page = F.when(i == 0, "refresh").otherwise("get"), F.when(i > 0, (i - 1) % READ_PAGES + 1)
+    elif kind == "mixed":
+        op, page = F.when(i % 2 == 0, "refresh").otherwise("get"), F.when(i % 2 == 1, F.floor(i / 2) % READ_PAGES + 1)
+    else:
+        raise ValueError(f"no workload {kind}")
+    put = op == "put"
+    return spark.range(cycles + (kind == "read")).select(
+        (i + first_step).alias("step"), op.alias("op"), F.lit(node).alias("node"), page.alias("page_id"), F.when(put, F.lit(0)).alias("offset"),
+        F.when(put, F.lit(data).cast("binary")).alias("data"), F.lit(None).cast("long").alias("value"),
+    )
+
+
+def interleaved(*parts: DataFrame) -> DataFrame:
+    """Workloads side by side: their steps alternate."""
+    out = None
+    for k, part in enumerate(parts):
+        own = part.withColumn("step", F.col("step") * len(parts) + k)
+        out = own if out is None else out.unionByName(own)
+    return out

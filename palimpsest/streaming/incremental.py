@@ -75,7 +75,7 @@ def drained(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFra
 
 
 class Vcl:
-    """Contiguous completeness over micro-batches, for ``foreachBatch``: LSNs beyond a gap wait in a table until it is filled."""
+    """Contiguous completeness over micro-batches, for ``foreachBatch``: LSNs beyond a gap wait in a written table until it is filled."""
 
     def __init__(self):
         self.vcl, self.waiting = 0, None
@@ -88,4 +88,9 @@ class Vcl:
         shifted = seen.select((F.col("lsn") - self.vcl).alias("lsn"))
         self.vcl += vcl(shifted).first()["vcl"]
         rest = seen.where(F.col("lsn") > self.vcl).distinct()
-        self.waiting = batch.sparkSession.createDataFrame(rest.toPandas(), "lsn bigint") if not rest.isEmpty() else None
+        if rest.isEmpty():
+            self.waiting = None
+        else:
+            path = shared_path(batch.sparkSession, "waiting")
+            rest.write.parquet(path)
+            self.waiting = batch.sparkSession.read.schema("lsn bigint").parquet(path)

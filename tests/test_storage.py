@@ -189,3 +189,16 @@ def test_vcl_over_batches(spark):
     for i, (lsns, want) in enumerate([([1, 2], 2), ([4, 6], 2), ([3], 4), ([5, 7], 7), ([], 7)]):
         state(spark.createDataFrame([(x,) for x in lsns], "lsn long"), i)
         assert state.vcl == want
+
+
+def test_workloads(spark):
+    from palimpsest.plans import workload
+
+    both = workload.interleaved(workload.steps(spark, "write", 5, "A"), workload.steps(spark, "mixed", 6, "B"))
+    log, results, totals = scenario.run(both)
+    assert [r.page_id for r in log.orderBy("lsn").collect()] == [100, 101, 102, 103, 104]
+    assert totals.first()["writes"] == 5 and {r.status for r in results.collect()} == {"not_found"}
+    reads = workload.steps(spark, "read", 12, "B")
+    assert [r.page_id for r in reads.orderBy("step").collect()] == [None, *range(1, 11), 1, 2]
+    with pytest.raises(ValueError):
+        workload.steps(spark, "none", 1)
