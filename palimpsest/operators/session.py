@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import entry_bytes
 from ..schema import PAGE_SIZE, SEGMENT_BYTES, LsnBeyondDurable, PageNotFound, PageOverflow
 from .durability import recover
+from .log import assign_lsns, link_previous, mark_ends, page_index, reachable, rejected_writes
 from .pages import snapshot
 from .segments import assign_segments, cool, segment_table
 
@@ -114,14 +115,47 @@ class PageLog:
             self._commit()
             return self.state["vdl"]
 
+    def append_frame(self, writes: DataFrame) -> int:
+        """Batches of writes (batch_id, pos, node, page_id, offset, data) as one append; each batch is a group.
+
+        Numbering, links and the write run on the executors; a write beyond its page rejects them all. Returns the VDL.
+        """
+        with self.lock:
+            bad = rejected_writes(writes).first()
+            if bad:
+                raise PageOverflow(bad["page_id"], bad["offset"], len(bad["data"]))
+            ends = writes.agg(F.min("batch_id"), F.max("batch_id")).first()
+            if ends[0] is None:
+                return self.state["vdl"]
+            first = self.state["next_batch"] - ends[0]
+            rows = mark_ends(assign_lsns(writes, self.state["next_lsn"])).withColumn("batch_id", F.col("batch_id") + first).withColumn("mtr_id", F.col("batch_id"))
+            old = page_index(self.frame()).withColumnRenamed("latest_lsn", "_old")
+            rows = link_previous(rows, self.compat).join(old, "page_id", "left").withColumn("prev_lsn", F.greatest("prev_lsn", F.coalesce("_old", F.lit(0))))
+            path = self._write(rows.select([F.col(c.split()[0]).cast(c.split()[1]) for c in COLUMNS.split(", ")]))
+            last, end = self.spark.read.schema(COLUMNS).parquet(path).agg(F.max("lsn"), F.max(F.when(F.col("is_mtr_end"), F.col("lsn")))).first()
+            self.state["files"].append(path)
+            self.state |= {"next_lsn": last + 1, "next_batch": ends[1] + first + 1, "vcl": last, "vdl": max(self.state["vdl"], end)}
+            self._commit()
+            return self.state["vdl"]
+
+    def make_base(self) -> int:
+        """Images of all pages at the VDL, from which later snapshots start; returns the LSN."""
+        with self.lock:
+            lsn = self.state["vdl"]
+            path = os.path.join(self.folder, f"base-{uuid.uuid4().hex}")
+            self.snapshot(lsn).drop("read_point").write.parquet(path)
+            self.state["base"] = {"lsn": lsn, "path": path}
+            self._commit()
+            return lsn
+
     def snapshot(self, read_point: int) -> DataFrame:
+        """All pages at a read point."""
         if read_point > self.state["vdl"]:
             raise LsnBeyondDurable(read_point, self.state["vdl"])
-        log = self.frame()
-        if self.compat:
-            from .log import reachable
-
-            log = reachable(log)
+        log = reachable(self.frame()) if self.compat else self.frame()
+        base = self.state.get("base")
+        if base and base["lsn"] <= read_point:
+            return snapshot(log, read_point, self.spark.read.parquet(base["path"]), base["lsn"])
         return snapshot(log, read_point)
 
     def get_page(self, page_id: int, read_point: int) -> bytes:

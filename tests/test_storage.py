@@ -202,3 +202,28 @@ def test_workloads(spark):
     assert [r.page_id for r in reads.orderBy("step").collect()] == [None, *range(1, 11), 1, 2]
     with pytest.raises(ValueError):
         workload.steps(spark, "none", 1)
+
+
+def test_bulk_appends_and_bases(spark, tmp_path):
+    log = PageLog.open(spark, str(tmp_path))
+    Node(log).put(1, 0, b"zero")
+    writes = [(b, p, "A", (b + p) % 3, p, bytearray([b])) for b in range(5, 9) for p in range(3)]
+    frame = spark.createDataFrame(writes, "batch_id long, pos int, node string, page_id long, offset int, data binary")
+    assert log.append_frame(frame) == 13 and log.durability() == (13, 13)
+    full = {r.page_id: (bytes(r.page), r.chain_len, r.last_lsn) for r in log.snapshot(13).collect()}
+    want = {1: bytearray(b"zero".ljust(8192, b"\0"))}
+    for _, _, _, page, offset, data in writes:
+        want.setdefault(page, bytearray(8192))[offset : offset + 1] = data
+    assert {p: v[0] for p, v in full.items()} == {p: bytes(v) for p, v in want.items()}
+    rows = log.frame().orderBy("lsn").collect()
+    last = {}
+    for r in rows:
+        assert r.prev_lsn == last.get(r.page_id, 0)
+        last[r.page_id] = r.lsn
+    assert log.make_base() == 13
+    Node(log).put(2, 100, b"after")
+    assert log.get_page(2, 14)[100:105] == b"after" and log.get_page(2, 14)[:100] == full[2][0][:100]
+    assert {r.page_id: bytes(r.page) for r in PageLog.open(spark, str(tmp_path)).snapshot(13).collect()} == {p: v[0] for p, v in full.items()}
+    assert log.append_frame(frame.limit(0)) == 14
+    with pytest.raises(PageOverflow):
+        log.append_frame(frame.withColumn("offset", F.lit(8192)))
