@@ -8,8 +8,13 @@ surrounding text's identifiers and of common identifiers.  Ordinary words, repea
 identifiers and file names cost few bytes a character, random keys nearly the information
 they hold.
 
-Every whole text is scanned; the window of a candidate is a few hundred characters, so
-memory does not grow with the text.
+Only a candidate's start must be in reach; it goes on to its true end.  Lines of one width
+are one candidate (``wrapped``), and from a secret the context carries on over adjacent
+incompressible runs parted by dots, colons or line breaks, so that keys of many lines and
+tokens of several parts are one span each.
+
+Every whole text is scanned once; a candidate is judged in blocks of bounded size, and is
+taken whole if one of them is incompressible.
 
 Defined results: a null text counts as empty and has no spans; the digest of no spans is
 the SHA-256 of the empty string; offsets are code points, ends exclusive; repeated rows and
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +45,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"(?:[Aa]uth|AUTH|[Bb]earer|BEARER|[Cc]redential|CREDENTIAL|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw|PASSW|[Aa]pi.?[Kk]ey|API.?KEY|[Pp]rivate.?[Kk]ey|PRIVATE.?KEY|[Aa]ccess.?[Kk]ey|ACCESS.?KEY)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: What may part the lines of one secret, and the parts of one token; line breaks may be written as escapes.
+BREAK = re.compile(r"""["'\\,;\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)(?:[\r\n"'\x20\t>#*|]|\\n)*""")
+JOIN = re.compile(r"\.{1,2}|[:~|]|" + BREAK.pattern)
+LINE_END = re.compile(r"""[\x20\t]*(?:[\r\n"'\\]|-----|\Z)""")
 REACH = 60
 AROUND = 256
+JUDGED = 1024  # characters judged at once; twice as many at the end
+WRAPPED = 32  # width from which lines may be one secret
+SHORT_PARTS = 2  # too short or compressible ones, between incompressible parts
 NOVELTY = 0.6  # marginal compressed bytes a character, at least
 #: Common identifiers that prime every dictionary.
 COMMON = " ".join(
@@ -87,24 +101,108 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(whole) - len(rest)) / max(1, len(candidate.encode(errors="replace")))
 
 
+def wrapped(text: str, start: int, end: int, lines_most: int | None = None) -> tuple[int, str]:
+    """End and characters of the candidate whose first line is text[start:end]: that line, those of the same width after it and a shorter last one."""
+    width, lines = end - start, [text[start:end]]
+    while width >= WRAPPED and len(lines) != lines_most:
+        gap = BREAK.match(text, end)
+        at = gap.end() if gap else end + 1 if text[end : end + 1] == " " else end
+        run = RUN.match(text, at) if at > end else None
+        if not run or len(run.group()) > width:
+            break
+        line = run.group()
+        if len(line) < width and (line.startswith("--") or not LINE_END.match(text, run.end()) or not (re.search(r"[0-9+/=]", line) or (gap and len(lines) > 1))):
+            break
+        lines.append(line)
+        end = run.end()
+        if len(line) < width:
+            break
+    return end, "".join(lines)
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible strings with letters and digits near a sensitive word, outside the known spans."""
-    out, seen = [], set()
+    """Incompressible strings with letters and digits that start near a sensitive word, to their true end; none lies inside a known span."""
     low = text.encode(errors="replace").lower()
     if not any(w in low for w in (b"auth", b"bearer", b"credential", b"secret", b"token", b"passw", b"key")):
-        return out
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + AROUND)):
-            if c.start() > m.end() + REACH:
+        return []
+    runs = [c.span() for c in CANDIDATE.finditer(text)]
+    ends = [b for _, b in runs]
+    reached: list[int] = []  # furthest end of the known spans up to each one
+    for _, _, b in known:
+        reached.append(max(b, reached[-1] if reached else 0))
+    starts = [a for a, _, _ in known]
+
+    def is_known(start: int, end: int) -> bool:
+        at = bisect_right(starts, start)
+        return at > 0 and reached[at - 1] >= end
+
+    def incompressible(own: str, start: int, end: int) -> bool:
+        n = max(1, len(own) // JUDGED)
+        for k in range(n):
+            lo, hi = k * JUDGED, (k + 1) * JUDGED if k < n - 1 else len(own)
+            before = own[max(0, lo - AROUND) : lo] if k else text[max(0, start - AROUND) : start]
+            after = own[hi : hi + AROUND] if k < n - 1 else text[end : end + AROUND]
+            if novelty(own[lo:hi], before, after) >= least:
+                return True
+        return False
+
+    def carried(end: int) -> int:
+        """The end of the secret whose first part ends here."""
+        at, short = end, 0
+        while short <= SHORT_PARTS:
+            gap = JOIN.match(text, at)
+            run = RUN.match(text, gap.end()) if gap else None
+            if not run:
                 break
-            if c.span() in seen or any(a < c.end() and c.start() < b for a, _, b in known):
+            at, own = wrapped(text, *run.span())
+            if len(own) < 16:
+                short += 1
                 continue
-            seen.add(c.span())
-            own = c.group()
-            if not (re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
+            mixed = at > run.end() or (re.search(r"[A-Za-z]", own) and (re.search(r"[0-9+/=]", own) or (len(own) >= WRAPPED and re.search(r"[a-z]", own) and re.search(r"[A-Z]", own))))
+            if mixed and (is_known(run.start(), at) or incompressible(own, run.start(), at)):
+                end, short = at, 0
+            elif gap.group()[0] == ".":
+                short += 1
+            else:
+                break
+        return end
+
+    found: list[tuple[int, int]] = []
+    taken = [False] * len(runs)
+    judged = 0  # end of what was judged whole in vain: a later start inside is judged by its first block
+    for m in SENSITIVE.finditer(text):
+        for k in range(bisect_right(ends, m.end()), len(runs)):
+            start, end = max(runs[k][0], m.end()), ends[k]
+            if runs[k][0] > m.end() + REACH:
+                break
+            if start == runs[k][0] > 0 and text[start - 1] == "\\" and text[start] in "nrt":
+                start += 1
+            while start < end and text[start] == "=":
+                start += 1
+            if taken[k] or end - start < 16:
                 continue
-            if novelty(own, text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND]) >= least:
-                out.append((c.start(), 3, c.end()))
+            again = end <= judged
+            if again and end - start > 2 * JUDGED:
+                to, own = end, text[start : start + 2 * JUDGED - 1]
+            else:
+                to, own = wrapped(text, start, end, 2 * JUDGED // WRAPPED if again else None)
+            if not is_known(start, to):
+                mixed = re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)
+                if not mixed or not incompressible(own[: 2 * JUDGED - 1] if again else own, start, to):
+                    judged = max(judged, to)
+                    continue
+            to = carried(wrapped(text, start, end)[0])
+            while k < len(runs) and ends[k] <= to:
+                taken[k] = True
+                k += 1
+            if not is_known(start, to):
+                found.append((start, to))
+    out: list[tuple[int, int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], 3, max(b, out[-1][2]))
+        else:
+            out.append((a, 3, b))
     return out
 
 
