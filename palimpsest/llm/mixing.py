@@ -9,8 +9,10 @@ again and again, on an axis of words that is cut into blocks of equal length.  S
 the mix is the golden-ratio point frac((j + 1) * phi); mapped through the cumulative
 weights it names a source, and the slots of a source take its blocks in order, so that any
 stretch of the mix has the target shares up to a few blocks.  A source takes blocks up to
-its target; ranks that the schedule leaves open at its end follow after it.  Slots and
-blocks meet in an equi-join on (source, block).
+its target, and its further slots stay empty; blocks that the schedule leaves open get the
+slots after its end, by source.  Slots and blocks meet in an equi-join on (source, block),
+whose result is the mix (``mixed_documents``); the words taken of each document are sums
+over it (``take``).
 
 Scale.  Every running sum goes through buckets (a hash or number range), so no window holds
 more than a bucket of a source; blocks spread a hot source over many join keys; the
@@ -19,8 +21,7 @@ collected: the water-filling is a few aggregates over the table of sources.
 
 Defined results: a null text has size 0 and is taken 0 words; null sources are a source of
 their own; rows with equal ids are separate documents; null ids too; without words all
-targets are 0; an empty table gives none; other columns are not read, or kept as they are
-by ``mixed_documents``.
+targets are 0 and the mix is empty; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,31 +72,52 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent:
     return table.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), cap))
 
 
-def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken) of each row; row tells equal ids apart."""
+def dealt(plan: DataFrame, block: int, total: float) -> DataFrame:
+    """(sid, block, slot, words) of every block that a source takes up to its target of ``words``; no two have a slot in common."""
+    need = plan.select("sid", F.round("target").cast("long").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block))
+    n = int(total // block) + 1
+    mix = schedule(plan, total, n)
+    rank = materialize(running(mix.withColumn("one", F.lit(1)), "sid", "chunk", ["slot"], "one", "rank"), "ranks")
+    used = rank.join(need, "sid").where("rank < blocks").select("sid", F.col("rank").cast("long").alias("block"), "slot", "words")
+    reached = rank.groupBy("sid").agg(F.count("*").alias("n"))
+    late = need.join(reached, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks").withColumn("open", F.col("blocks") - F.col("n"))
+    late = running(late.withColumn("all", F.lit(0)).withColumn("part", F.floor(F.col("sid") / 1000)), "all", "part", ["sid"], "open", "before")
+    late = late.select("sid", F.explode(F.expr("sequence(n, blocks - 1)")).alias("block"), "n", "before", "words")
+    return used.union(late.select("sid", "block", (F.lit(n) + F.col("before") + F.col("block") - F.col("n")).alias("slot"), "words"))
+
+
+def laid_and_mixed(docs: DataFrame, weights: tuple[int, ...], total_percent: int, most: int, id_col: str, text_col: str, source_col: str, slots: int) -> tuple[DataFrame, DataFrame]:
+    """Every document on its source's axis, and the mix."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = materialize(sized.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int")), "sized")
     plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_percent, most), "targets")
     laid = running(sized, "source", "bucket", ["h", "doc_id", "size"], "size", "start")
-    laid = materialize(laid.join(plan, laid["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "sid", "source_size", "target", "start"), "laid").withColumn("row", F.monotonically_increasing_id())
-    whole = plan.agg(F.sum("target"), F.sum("source_size")).first()
-    total = float(whole[0] or 0)
+    laid = materialize(laid.join(plan, laid["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "sid", "source_size", "target", "start").withColumn("row", F.monotonically_increasing_id()), "laid")
+    total = float(plan.agg(F.sum("target")).first()[0] or 0)
     block = max(1, int(total / slots))
 
-    # Blocks that each source takes, the last one in part.
-    need = plan.select("sid", F.round("target").cast("long").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block))
-    mix = schedule(plan, total, int(total // block) + 1)
-    rank = materialize(running(mix.withColumn("one", F.lit(1)), "sid", "chunk", ["slot"], "one", "rank"), "ranks")
-    used = rank.join(need, "sid").where("rank < blocks").select("sid", F.col("rank").cast("long").alias("block"), "words", "slot")
-    reached = rank.groupBy("sid").agg(F.count("*").alias("n"))
-    late = need.join(reached, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks").select("sid", F.explode(F.expr("sequence(n, blocks - 1)")).alias("block"), "words", F.lit(None).cast("long").alias("slot"))
-    taken_blocks = used.union(late)
-
     # Every document on the axis, once for each time round, with the blocks it lies in.
     turns = laid.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("lo", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("hi", F.col("lo") + F.col("size"))
-    pieces = turns.select("row", "sid", "lo", "hi", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")).alias("block"))
-    edge = F.least(F.col("hi"), (F.col("block") + 1) * block, F.col("words")) - F.greatest(F.col("lo"), F.col("block") * block)
-    got = pieces.join(taken_blocks, ["sid", "block"]).groupBy("row").agg(F.sum(F.greatest(edge, F.lit(0))).alias("taken"))
+    pieces = turns.select("row", "doc_id", "source", "sid", "lo", "hi", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")).alias("block"))
+    begin = F.greatest(F.col("lo"), F.col("block") * block)
+    end = F.least(F.col("hi"), (F.col("block") + 1) * block, F.col("words"))
+    mixed = pieces.join(dealt(plan, block, total), ["sid", "block"]).where(end > begin)
+    return laid, materialize(mixed.select("slot", "source", "block", (begin - F.col("block") * block).alias("place"), "row", "doc_id", (begin - F.col("lo")).alias("first_word"), (end - begin).alias("n_words")), "mix")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
+    """The mix: (slot, source, block, place, row, doc_id, first_word, n_words), which is read in the order of slot and place.
+
+    Each row is a stretch of words of one document, from ``first_word`` (0 is the document's first) on; ``block`` counts along
+    the source's axis, ``place`` words inside the block. A document that is taken twice has stretches in both times round.
+    """
+    return laid_and_mixed(docs, weights, total_percent, most, id_col, text_col, source_col, slots)[1]
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
+    """(row, doc_id, size, source_size, target, taken) of each row, summed over the mix; row tells equal ids apart."""
+    laid, mixed = laid_and_mixed(docs, weights, total_percent, most, id_col, text_col, source_col, slots)
+    got = mixed.groupBy("row").agg(F.sum("n_words").alias("taken"))
     return laid.join(got, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -301,6 +301,39 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.take(docs.where("text is null")).collect()] == [0]
 
 
+def test_mixed_documents(spark):
+    rng = random.Random(14)
+    rows = [(i % 190, " ".join(f"w{i}_{j}" for j in range(rng.randrange(0, 90))), rng.choices(["a", "b", None, "c"], weights=[9, 3, 1, 3])[0]) for i in range(200)]
+    rows += [(500 + i, f"s{i}", f"t{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {}
+    for i, t, s in rows:
+        texts.setdefault((i, s), []).append(t.split())
+    for slots in (mixing.SLOTS, 300):
+        mix = sorted(mixing.mixed_documents(docs, slots=slots).collect(), key=lambda r: (r.slot, r.place))
+        taken = {r.row: r.taken for r in mixing.take(docs, slots=slots).collect()}
+        got, axis, of = {}, {}, {}
+        for r in mix:
+            got[r.row] = got.get(r.row, 0) + r.n_words
+            assert any(r.first_word + r.n_words <= len(t) for t in texts[r.doc_id, r.source])
+            assert of.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+            axis.setdefault(r.source, []).append(r)
+        assert sorted(got.values()) == sorted(n for n in taken.values() if n) and len(of) == len(set(of.values()))
+        # A source's blocks come in the order of its slots, without gaps; a block has its words once each.
+        for held in axis.values():
+            assert list(dict.fromkeys(r.block for r in held)) == list(range(max(r.block for r in held) + 1))
+            for x, y in zip(held, held[1:], strict=False):
+                assert y.place == (x.place + x.n_words if y.block == x.block else 0)
+        # Any stretch of the mix has the shares of the whole, up to a few blocks, as long as the schedule lasts.
+        words = sum(r.n_words for r in mix)
+        scheduled = [r for r in mix if r.slot < slots * 0.8] if slots == 300 else []
+        part = sum(r.n_words for r in scheduled)
+        for s in ("a", "b", "c", None) if scheduled else ():
+            share = sum(r.n_words for r in axis[s]) / words
+            assert abs(sum(r.n_words for r in scheduled if r.source == s) - share * part) < 8 * words / slots
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.where("text = ''")).count() == 0
+
+
 def test_schedule_is_even(spark):
     plan = spark.createDataFrame([(0, 60.0), (1, 30.0), (2, 10.0)], "sid long, target double")
     order = [r.sid for r in mixing.schedule(plan, 100.0, 2000).orderBy("slot").collect()]
