@@ -4,12 +4,15 @@ A window network predicts every token from SIDE tokens before and after it; a do
 score is the sum of its conditional log-probabilities, and their mean.
 
 Vocabulary.  All words of all documents are counted.  The most frequent are classes of
-their own; the others fall into RARE hashed classes, inside which every distinct word is as
-likely as any other (the number of distinct words comes from the same counts).  Class 0
-stands for what is beyond a document's ends.
-
-Training.  In each of ROUNDS passes every document masks one token in MASK_ONE_IN, at an
-offset drawn from its text.  Every task trains a copy of the network in numpy on its
+their own; the others fall into RARE hashed classes, inside which every word has its own
+share, its count by the class's: a token's probability is the network's of the class times
+that share.  The counts of the KNOWN most frequent words go to the tasks; those of all
+others, however many, are joined in Spark.  Class 0 stands for what is beyond a document's
+ends.
+
+Training.  In each of ROUNDS passes every document masks one token in MASK_ONE_IN, from an
+offset drawn from its text that moves on by one a pass; as many passes as MASK_ONE_IN
+make every token a target.  Every task trains a copy of the network in numpy on its
 documents; the copies are averaged, weighted by tokens, in a Spark aggregate over the
 coordinates, so only one network's weights reach the driver, however many tasks there are.
 
@@ -34,7 +37,8 @@ from .textops import U64, document_words
 CLASSES, RARE = 128, 32
 SIDE = 2
 WIDTH, HIDDEN = 12, 24
-ROUNDS, MASK_ONE_IN = 2, 12
+ROUNDS, MASK_ONE_IN = 2, 2  # every token is a target
+KNOWN = 200_000  # words whose counts are broadcast (16 bytes each)
 BATCH, RATE = 256, 0.01
 BLOCK = 1024
 
@@ -53,13 +57,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    def __init__(self, frequent: list[int], kinds: dict[int, int], counts: np.ndarray):
+    def __init__(self, frequent: list[int], counts: np.ndarray, known: np.ndarray, n_known: np.ndarray, table: DataFrame | None):
         order = np.array(frequent, np.int64).astype(U64)
         self.words = np.sort(order)
-        self.cost = np.zeros(CLASSES, np.float32)  # of the word in its class
-        for bucket, n in kinds.items():
-            self.cost[CLASSES - RARE + bucket] = -np.log(max(1, n))
         self.counts = counts
+        known = known.astype(U64)
+        by = np.argsort(known)
+        self.known, self.log_known = known[by], np.log(n_known[by].astype(np.float64))
+        self.table = table  # counts of all words, if some are not known
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def log_shares(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the tokens' log-shares of their classes, in which the words returned still lack the log of their count."""
+        if not len(w):
+            return 0.0, w
+        at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
+        is_known = self.known[at] == w
+        return float(self.log_known[at[is_known]].sum() - np.log(np.maximum(self.counts[self.classes(w)], 1)).sum()), w[~is_known]
 
     def classes(self, w: np.ndarray) -> np.ndarray:
         rare = (CLASSES - RARE + (w >> U64(40)) % U64(RARE)).astype(np.int64)
@@ -71,14 +87,14 @@ class Vocabulary:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = materialize(word_counts(docs), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE - 1).collect()
+    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    words, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
+    top = words[: CLASSES - RARE - 1]
     bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(RARE)).alias("bucket")
-    rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
-    sums = rare.groupBy(bucket).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()
-    vocab = Vocabulary([r["word"] for r in top], {int(r["bucket"]): r["kinds"] for r in sums}, np.zeros(CLASSES))
-    own = vocab.classes(np.array([r["word"] for r in top], np.int64).astype(U64)) if top else []
-    for c, r in zip(own, top, strict=True):
-        vocab.counts[c] = r["n"]
+    rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(w),) for w in top], "word long")), "word", "left_anti")
+    sums = rare.groupBy(bucket).agg(F.sum("n").alias("n")).collect()
+    vocab = Vocabulary(top.tolist(), np.zeros(CLASSES), words, n, counts if len(words) == KNOWN else None)
+    vocab.counts[vocab.classes(top.astype(U64))] = n[: len(top)]
     for r in sums:
         vocab.counts[CLASSES - RARE + int(r["bucket"])] = r["n"]
     return vocab
@@ -150,20 +166,27 @@ class Network:
         return out
 
 
-def _lines(column: pa.Array, vocab: Vocabulary, size: int = 1 << 14) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
-    """Lines of documents' classes with SIDE zeros around each, and where each document stands."""
+def _lines(column: pa.Array, vocab: Vocabulary, size: int = 1 << 14) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray]]]:
+    """Lines of documents' classes with SIDE zeros around each, where each document stands, and its words."""
     gap = np.zeros(SIDE, np.int64)
-    parts, spans, at = [gap], [], SIDE
+    parts, spans, held, at = [gap], [], [], SIDE
     for w in document_words(column):
         c = vocab.classes(w)
         parts += [c, gap]
         spans.append((at, at + len(c)))
+        held.append(w)
         at += len(c) + SIDE
         if at > size:
-            yield np.concatenate(parts), spans
-            parts, spans, at = [gap], [], SIDE
+            yield np.concatenate(parts), spans, held
+            parts, spans, held, at = [gap], [], [], SIDE
     if spans:
-        yield np.concatenate(parts), spans
+        yield np.concatenate(parts), spans, held
+
+
+def masked(line: np.ndarray, spans: list[tuple[int, int]], turn: int, mask_one_in: int) -> np.ndarray:
+    """Places of the tokens that are targets in a pass."""
+    spots = [np.arange(a + (int(line[a : a + 64].sum()) + turn) % min(mask_one_in, b - a), b, mask_one_in) for a, b in spans if b > a]
+    return np.concatenate(spots) if spots else np.zeros(0, np.int64)
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, mask_one_in: int = MASK_ONE_IN) -> tuple[Vocabulary, Network]:
@@ -180,9 +203,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, mask_one_in: int = MASK_ONE_IN) -
             held = [np.full(s, 1e-4, np.float32) for s in Network.SHAPES]
             seen = 0
             for batch in batches:
-                for line, spans in _lines(batch.column(0), shared.value[0]):
-                    spots = [np.arange(a + (int(line[a : a + 64].sum()) + turn * (mask_one_in // 2 + 1)) % min(mask_one_in, b - a), b, mask_one_in) for a, b in spans if b > a]
-                    spots = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+                for line, spans, _ in _lines(batch.column(0), shared.value[0]):
+                    spots = masked(line, spans, turn, mask_one_in)
                     spots = np.random.default_rng(len(line)).permutation(spots)
                     for lo in range(0, len(spots), BATCH):
                         at = spots[lo : lo + BATCH]
@@ -209,13 +231,24 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         vocab, flat = shared.value
         net = Network(flat)
         for batch in batches:
-            n, total = [], []
-            for line, spans in _lines(batch.column(1), vocab):
-                p = net.log_probabilities(line) + vocab.cost[line]
-                for a, b in spans:
+            n, total, ends, words, times = [], [], [0], [], []
+            for line, spans, held in _lines(batch.column(1), vocab):
+                p = net.log_probabilities(line)
+                for (a, b), w in zip(spans, held, strict=True):
+                    share, others = vocab.log_shares(w)
+                    others, many = np.unique(others, return_counts=True)
                     n.append(b - a)
-                    total.append(float(p[a:b].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
-
-    scored = docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+                    total.append(float(p[a:b].sum(dtype=np.float64)) + share)
+                    ends.append(ends[-1] + len(others))
+                    words.append(others.astype(np.int64))
+                    times.append(many.astype(np.int64))
+            flat_words = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (words, times)], ["word", "times"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rest], ["doc_id", "n_tokens", "log_likelihood", "rest"])
+
+    scored = docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, rest array<struct<word: long, times: long>>")
+    if vocab.table is not None:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        lacking = scored.select("row", F.inline("rest")).join(vocab.table, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("lacking"))
+        scored = scored.drop("rest").join(lacking, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("lacking", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))

@@ -362,6 +362,31 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.pseudo_likelihood(table(spark, [])).count() == 0
 
 
+def test_words_have_their_own_share(spark, monkeypatch):
+    """With the production defaults: two words of one class, each alone in a document, differ by the log of their counts."""
+    names = [f"w{i}" for i in range(400)]
+    bucket = {n: int(next(iter(textops.document_words(pa.array([n]))))[0] >> np.uint64(40)) % pseudo_likelihood.RARE for n in names}
+    of = [n for n in names if bucket[n] == bucket[names[0]]]
+    often, seldom = of[:2]
+    rows = [(i, " ".join([f"top{j}" for j in range(pseudo_likelihood.CLASSES - pseudo_likelihood.RARE - 1)] * 3)) for i in range(20)]
+    rows += [(100 + i, " ".join(n for n in names if n not in of)) for i in range(2)]
+    rows += [(200, often), (201, seldom), (202, " ".join([often] * 39)), (202, seldom)]
+    results = []
+    for known in (pseudo_likelihood.KNOWN, 100):
+        monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
+        by = sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 3)) for r in pseudo_likelihood.pseudo_likelihood(table(spark, rows)).collect())
+        one = {i: x for i, n, x in by if n == 1}
+        assert abs(one[200] - one[201] - np.log(40 / 2)) < 1e-2 and len(by) == len(rows)
+        results.append(by)
+    assert np.allclose(results[0], results[1], rtol=1e-3)
+
+
+def test_every_token_is_a_target():
+    line, spans = np.r_[0, 0, np.arange(1, 101), 0, 0], [(2, 3), (3, 5), (5, 12), (12, 12), (12, 102)]
+    seen = [pseudo_likelihood.masked(line, spans, turn, pseudo_likelihood.MASK_ONE_IN) for turn in range(pseudo_likelihood.ROUNDS)]
+    assert set(np.concatenate(seen).tolist()) == set(range(2, 102))
+
+
 def test_network_against_one_token_at_a_time():
     rng = np.random.default_rng(0)
     net = pseudo_likelihood.Network.initial(rng.integers(1, 100, pseudo_likelihood.CLASSES).astype(float))
