@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,18 +115,23 @@ def test_words():
     assert [len(s) for s in textops.document_shingles(pa.array(texts))] == [len(shingles(t)) for t in texts]
 
 
+def bag(words, k=5):
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else Counter({tuple(words): 1} if words else {})
+
+
 def leaks(rows, items, similarity=0.8):
     """Pairs with a window of the item's size at the similarity, all windows tried."""
-    held = [shingles(t) for _, t in items]
-    weight = lambda s: float(np.log1p(len(items) / max(1, sum(s in h for h in held))))
+    held = [(j, split(t), bag(split(t))) for j, t in items if split(t)]
+    df = Counter(s for _, _, h in held for s in h)
+    weight = lambda s: float(np.log1p(len(held) / max(1, df[s])))
     out = set()
     for i, t in rows:
         w = split(t)
-        for j, u in items:
-            v = split(u)
-            for lo in range(max(1, len(w) - len(v) + 1) if v and w else 0):
-                a, b = shingles(" ".join(x.decode() for x in w[lo : lo + len(v)])), shingles(u)
-                if sum(map(weight, a & b)) >= similarity * sum(map(weight, a | b)):
+        for j, v, b in held:
+            for lo in range(max(1, len(w) - len(v) + 1) if w else 0):
+                a = bag(w[lo : lo + len(v)])
+                both = sum(weight(s) * n for s, n in (a & b).items())
+                if both and both >= similarity * sum(weight(s) * n for s, n in (a | b).items()) - 1e-9:
                     out.add((i, j))
                     break
     return out
@@ -159,11 +165,70 @@ def test_contaminated_odd_rows(spark):
     assert decontaminate.contaminated(table(spark, ODD), bench.limit(0)).count() == 0
 
 
-def test_intact_runs():
-    for n in range(1, 200):
-        size, stride = decontaminate.window_of(n, 5, 0.8)
-        run = decontaminate.intact_run(n, 5, 0.8)
-        assert run / 1.35 - stride <= size <= run - stride + 1 <= n and size >= 1
+def test_contaminated_with_shared_and_moved_parts(spark):
+    """Items that share boilerplate of low weight; passages with edits there, words put in and left out, and parts moved."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    phrases = [[word() for _ in range(rng.randrange(8, 26))] for _ in range(4)]
+    items = []
+    for j in range(24):
+        own = [word() for _ in range(rng.choice([12, 25, 40]))]
+        items.append((j, [*rng.choice(phrases), *own, *(rng.choice(phrases) if j % 2 else [])]))
+    rows = []
+    for i in range(120):
+        passage = list(rng.choice(items)[1])
+        light = rng.random() < 0.6
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(10 if light else len(passage))
+            kind = rng.randrange(4)
+            if kind == 0:
+                passage[at] = word()
+            elif kind == 1:
+                passage.insert(at, word())
+            elif kind == 2:
+                del passage[at]
+            else:
+                cut = rng.randrange(1, len(passage))
+                passage = passage[cut:] + passage[:cut]
+        body = [word() for _ in range(rng.choice([0, 3, 60]))]
+        at = rng.randrange(len(body) + 1)
+        rows.append((i, " ".join(body[:at] + passage + body[at:])))
+    rows.append((500, "ab " * 9000 + " ".join(items[3][1]) + " cd" * 9000))
+    texts = [(j, " ".join(t)) for j, t in items]
+    want = leaks(rows[:-1], texts) | {(500, 3)}
+    assert 60 < len(want)
+    bench = spark.createDataFrame(texts, "item_id long, text string")
+    docs = table(spark, rows)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert want <= found and {x for x in found if x[0] != 500} == {x for x in want if x[0] != 500}
+    for windows in (decontaminate.BLOCK_WINDOWS, 400):
+        kept = decontaminate.uncontaminated(docs, bench, block_windows=windows)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_uncontaminated_judges_rows(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = table(spark, [(1, item), (1, "another text"), (None, item), (None, "x"), (2, None), (3, "")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text or "") for r in decontaminate.uncontaminated(docs, bench).collect()) == [(0, "x"), (1, "another text"), (2, ""), (3, "")]
+    assert decontaminate.uncontaminated(docs, bench.limit(0)).count() == 6 and decontaminate.uncontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_kept_runs():
+    """No way to lose less than the bound breaks the run: all cuts of small items tried."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, k = int(rng.integers(6, 13)), int(rng.integers(2, 6))
+        weights = rng.choice([0.7, 1.0, 5.0], n - k + 1)
+        run, longest = decontaminate.kept_run(weights, k, 0.8), n
+        for cuts in range(1 << (n - 1)):
+            borders = [0, *(c for c in range(1, n) if cuts >> (c - 1) & 1), n]
+            lost = {a for c in borders[1:-1] for a in range(max(0, c - k + 1), min(c, n - k + 1))}
+            if sum(weights[a] for a in lost) <= 0.2 * weights.sum() + 1e-9:
+                longest = min(longest, max(np.diff(borders)))
+        assert run == longest
+        size, stride = decontaminate.window_of(run)
+        assert 1 <= size <= run - stride + 1
 
 
 def edits(a, b):
