@@ -11,8 +11,8 @@ weights it names a source, and the slots of a source take its blocks in order, s
 stretch of the mix has the target shares up to a few blocks.  A source takes blocks up to
 its target, and its further slots stay empty; blocks that the schedule leaves open get the
 slots after its end, by source.  Slots and blocks meet in an equi-join on (source, block),
-whose result is the mix (``mixed_documents``); the words taken of each document are sums
-over it (``take``).
+whose result is the mix (``mixed_documents``); the words taken of each document, the slot in
+which it comes first and the number of its slots are aggregates of it (``take``).
 
 Scale.  Every running sum goes through buckets (a hash or number range), so no window holds
 more than a bucket of a source; blocks spread a hot source over many join keys; the
@@ -20,8 +20,9 @@ schedule meets the cumulative weights through a bucketed interval join.  Sources
 collected: the water-filling is a few aggregates over the table of sources.
 
 Defined results: a null text has size 0 and is taken 0 words; null sources are a source of
-their own; rows with equal ids are separate documents; null ids too; without words all
-targets are 0 and the mix is empty; an empty table gives none; other columns are not read.
+their own; rows with equal ids are separate documents; null ids too, shuffled by their texts;
+without words all targets are 0 and the mix is empty; what the mix does not take has no
+first slot; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def dealt(plan: DataFrame, block: int, total: float) -> DataFrame:
 
 def laid_and_mixed(docs: DataFrame, weights: tuple[int, ...], total_percent: int, most: int, id_col: str, text_col: str, source_col: str, slots: int) -> tuple[DataFrame, DataFrame]:
     """Every document on its source's axis, and the mix."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = materialize(sized.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int")), "sized")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("seed"))
+    sized = materialize(sized.withColumn("h", F.when(F.col("doc_id").isNull(), F.col("seed")).otherwise(F.xxhash64("doc_id", F.lit("mix")))).drop("seed").withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int")), "sized")
     plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_percent, most), "targets")
     laid = running(sized, "source", "bucket", ["h", "doc_id", "size"], "size", "start")
     laid = materialize(laid.join(plan, laid["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "sid", "source_size", "target", "start").withColumn("row", F.monotonically_increasing_id()), "laid")
@@ -115,10 +116,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_p
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken) of each row, summed over the mix; row tells equal ids apart."""
+    """(row, doc_id, size, source_size, target, taken, first_slot, slots) of each row, from the mix; row tells equal ids apart."""
     laid, mixed = laid_and_mixed(docs, weights, total_percent, most, id_col, text_col, source_col, slots)
-    got = mixed.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return laid.join(got, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = mixed.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.countDistinct("slot").alias("slots"))
+    return laid.join(got, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
 def schedule(plan: DataFrame, total: float, n: int) -> DataFrame:

@@ -1,14 +1,14 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Three plain patterns give the base spans.  The method adds strings in a sensitive context
-(a word such as ``auth`` or ``credential`` up to REACH characters before them) that are
+(a word such as ``auth`` or ``credential`` up to REACH characters before or after them) that are
 incompressible there: the marginal cost of a candidate is the compressed size of the
 surrounding text with it less the size without it, under a zstandard dictionary of the
 surrounding text's identifiers and of common identifiers.  Ordinary words, repeated
 identifiers and file names cost few bytes a character, random keys nearly the information
 they hold.
 
-Only a candidate's start must be in reach; it goes on to its true end.  Lines of one width
+Only a candidate's start, or its end before the word, must be in reach; it goes on to its true end.  Lines of one width
 are one candidate (``wrapped``), and from a secret the context carries on over adjacent
 incompressible runs parted by dots, colons or line breaks, so that keys of many lines and
 tokens of several parts are one span each.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +45,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"(?:[Aa]uth|AUTH|[Bb]earer|BEARER|[Cc]redential|CREDENTIAL|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw|PASSW|[Aa]pi.?[Kk]ey|API.?KEY|[Pp]rivate.?[Kk]ey|PRIVATE.?KEY|[Aa]ccess.?[Kk]ey|ACCESS.?KEY)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A part of a name: a word or a few in camel case, with a short number at most.
+NAME_PART = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[a-z]+(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+)?\d{0,4}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: What may part the lines of one secret, and the parts of one token; line breaks may be written as escapes.
 BREAK = re.compile(r"""["'\\,;\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)(?:[\r\n"'\x20\t>#*|]|\\n)*""")
@@ -52,6 +54,7 @@ JOIN = re.compile(r"\.{1,2}|[:~|]|" + BREAK.pattern)
 LINE_END = re.compile(r"""[\x20\t]*(?:[\r\n"'\\]|-----|\Z)""")
 REACH = 60
 AROUND = 256
+NAME_MOST = 128  # characters of a name at most
 JUDGED = 1024  # characters judged at once; twice as many at the end
 WRAPPED = 32  # width from which lines may be one secret
 SHORT_PARTS = 2  # too short or compressible ones, between incompressible parts
@@ -101,6 +104,13 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(whole) - len(rest)) / max(1, len(candidate.encode(errors="replace")))
 
 
+def keylike(candidate: str) -> bool:
+    """Whether it has letters and digits and is no name of words and short numbers such as ``retry_count_v2``."""
+    if not (re.search(r"[0-9]", candidate) and re.search(r"[A-Za-z]", candidate)):
+        return False
+    return len(candidate) > NAME_MOST or not all(map(NAME_PART.fullmatch, re.split(r"[_=+/-]", candidate)))
+
+
 def wrapped(text: str, start: int, end: int, lines_most: int | None = None) -> tuple[int, str]:
     """End and characters of the candidate whose first line is text[start:end]: that line, those of the same width after it and a shorter last one."""
     width, lines = end - start, [text[start:end]]
@@ -121,7 +131,7 @@ def wrapped(text: str, start: int, end: int, lines_most: int | None = None) -> t
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible strings with letters and digits that start near a sensitive word, to their true end; none lies inside a known span."""
+    """Incompressible strings with letters and digits that start after or end before a sensitive word near it, to their true ends; none lies inside a known span."""
     low = text.encode(errors="replace").lower()
     if not any(w in low for w in (b"auth", b"bearer", b"credential", b"secret", b"token", b"passw", b"key")):
         return []
@@ -169,8 +179,28 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = NOV
 
     found: list[tuple[int, int]] = []
     taken = [False] * len(runs)
+    vain: set[int] = set()  # candidates before a word that were judged in vain
     judged = 0  # end of what was judged whole in vain: a later start inside is judged by its first block
+
+    def secret(k: int, start: int) -> bool:
+        """Whether candidate k is incompressible from here on."""
+        own = text[start : ends[k]]
+        return ends[k] - start >= 16 and keylike(own) and incompressible(own, start, ends[k])
+
     for m in SENSITIVE.finditer(text):
+        for k in range(bisect_right(ends, m.start()) - 1, bisect_left(ends, m.start() - REACH) - 1, -1):
+            if taken[k] or k in vain:
+                continue
+            start, end = runs[k]
+            if is_known(start, end) or not secret(k, start):
+                vain.add(k)
+                continue
+            to, first = carried(wrapped(text, start, end)[0]), k
+            while first and JOIN.fullmatch(text, ends[first - 1], start) and secret(first - 1, runs[first - 1][0]):
+                first, start = first - 1, runs[first - 1][0]
+            for i in range(first, bisect_right(ends, to)):
+                taken[i] = True
+            found.append((start, to))
         for k in range(bisect_right(ends, m.end()), len(runs)):
             start, end = max(runs[k][0], m.end()), ends[k]
             if runs[k][0] > m.end() + REACH:
@@ -187,8 +217,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = NOV
             else:
                 to, own = wrapped(text, start, end, 2 * JUDGED // WRAPPED if again else None)
             if not is_known(start, to):
-                mixed = re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)
-                if not mixed or not incompressible(own[: 2 * JUDGED - 1] if again else own, start, to):
+                if not keylike(own) or not incompressible(own[: 2 * JUDGED - 1] if again else own, start, to):
                     judged = max(judged, to)
                     continue
             to = carried(wrapped(text, start, end)[0])
