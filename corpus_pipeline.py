@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on every row that its predecess
 All but the last return the columns of documents; the last returns the mix: for each
 document its size, its source's size and target, and the words that the mix takes of it.
 
-Rows with a null id or a null or blank text pass every stage: they are not toxic, link with
-nothing and hold no passage and no secret; they are taken 0 words.  Of rows that share an id,
-the deduplication keeps one.  An empty table gives an empty table.
+Each row is judged by its own text: rows that share an id, or have none, are rejected or kept one
+by one.  Rows with a null or blank text pass every stage, as they are not toxic, are copies of
+nothing and hold no passage and no secret; they are taken 0 words.  Other columns, whatever their
+names and types, stay as they are.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.decontaminate import contaminated
+from palimpsest.llm.decontaminate import uncontaminated
 from palimpsest.llm.mixing import take
-from palimpsest.llm.ngram_join import jaccard_components
+from palimpsest.llm.ngram_join import one_of_each
 from palimpsest.llm.secrets import redact
 from palimpsest.llm.session import shared_folder, table
-from palimpsest.llm.toxicity import toxicity_scores
+from palimpsest.llm.toxicity import without_toxic
 
 #: No SQL gives the rows: the toxicity and secret models are learned or compressed. Tested by brute force instead.
 ORACLE_SQL = None
@@ -29,26 +30,17 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    found = jaccard_components(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat an id are rare but may be many of one id: only those ids are reduced to a row.
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

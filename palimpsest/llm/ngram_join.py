@@ -10,7 +10,8 @@ order.  In that order a pair of classes that links shares two shingles in the pr
 of length n - ceil(n * percent / 100) + 2, so it either shares a rare shingle there
 (indexed singly) or two frequent ones (indexed as combinations).  Sets of more than
 ``pair_size`` shingles, where combinations would be many, index frequent shingles
-singly; sizes that can meet both kinds do both, so no pair is lost.  Candidates pass a
+singly; sizes that can meet both kinds do both, so no pair is lost.  Sets so small that
+no other set can reach the threshold with them have no index entries.  Candidates pass a
 size test and a parity-bitmap test, both of which reject only pairs that cannot link,
 and the rest are verified on the whole sets.
 
@@ -18,8 +19,12 @@ Groups.  First every class meets the smallest class of its index entry (a freque
 is salted, and the leaders of the salts meet in turn), which joins a group of near
 copies in linear work; then, ROUNDS times, drawn members of an entry's components meet.
 Then, for completeness, entries whose classes are still in
-several components pair the classes of different components.  Pairs inside a component
-need no test.
+several components pair the classes of different components; an entry of many classes is
+split into blocks of CROWD, each of which meets the entry by itself.  Pairs inside a
+component need no test.
+
+``one_of_each`` keeps one row of each group of near copies; it works on classes of texts, so
+rows that share an id but not a text are judged apart, and rows without an id as well.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; a row
 with a null id is returned with a null component and takes no part in links; repeated
@@ -36,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .session import materialize
@@ -47,6 +53,10 @@ MOST_FREQUENT = 2_000_000
 PAIR_SIZE = 320
 SALTS = 64
 ROUNDS = 2
+#: Classes of one index entry that one task pairs with the entry's others.
+CROWD = 2000
+#: With a frequency above this, the entries of rarer shingles are salted too.
+SALTED_FROM = 4096
 #: Bits of the filter that spares shuffling the sets of documents without candidates; a fixed size.
 BLOOM_BITS = 1 << 23
 #: Shingles counted by one group of the counting shuffle.
@@ -85,24 +95,25 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 
 def document_classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cls, bits) for each row of (doc_id, text)."""
+    """(doc_id, key, n, cls, bits) for each row of (doc_id, key, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, bits = [], [], []
-            for s in document_shingles(batch.column(1), k):
+            for s in document_shingles(batch.column(2), k):
                 n.append(len(s))
                 cls.append(class_id(s))
                 bits.append(parity_bits(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "key", "n", "cls", "bits"])
 
-    return docs.mapInArrow(each, "doc_id long, n long, cls long, bits binary")
+    return docs.mapInArrow(each, "doc_id long, key long, n long, cls long, bits binary")
 
 
-def _distinct_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def _distinct_sets(column: pa.Array, k: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     seen = set()
     for s in document_shingles(column, k):
-        if len(s) >= 4 and (c := class_id(s)) not in seen:  # smaller sets link with no other set
+        # A set of n has a similarity of n / (n + 1) with another one at most.
+        if len(s) * (100 - percent) >= percent and (c := class_id(s)) not in seen:
             seen.add(c)
             yield c, s
 
@@ -110,7 +121,7 @@ def _distinct_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]
 _SHIFT = U64(20)
 
 
-def shingle_counts(docs: DataFrame, k: int, total: int, least: int) -> DataFrame:
+def shingle_counts(docs: DataFrame, k: int, percent: int, total: int, least: int) -> DataFrame:
     """(token, df) of the shingles in at least ``least`` documents, over all documents.
 
     token is the upper 44 bits of the hash.  Each task sorts what it has seen and ships each
@@ -122,7 +133,7 @@ def shingle_counts(docs: DataFrame, k: int, total: int, least: int) -> DataFrame
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in _distinct_sets(batch.column(0), k)]
+            sets = [s for _, s in _distinct_sets(batch.column(0), k, percent)]
             if not sets:
                 continue
             tokens, counts = np.unique(np.concatenate(sets) >> _SHIFT, return_counts=True)
@@ -155,9 +166,9 @@ def shingle_counts(docs: DataFrame, k: int, total: int, least: int) -> DataFrame
     return docs.select("text").mapInArrow(local, "part long, n long, steps binary, counts binary").groupBy("part").applyInPandas(merge, "token long, df long")
 
 
-def frequent_shingles(docs: DataFrame, k: int, total: int) -> np.ndarray:
-    """Sorted tokens of the frequent shingles, MOST_FREQUENT at most."""
-    counts = materialize(shingle_counts(docs, k, total, FREQUENT), "counts")
+def frequent_shingles(docs: DataFrame, k: int, percent: int, total: int) -> tuple[np.ndarray, int]:
+    """Sorted tokens of the frequent shingles, MOST_FREQUENT at most, and the frequency from which they are."""
+    counts = materialize(shingle_counts(docs, k, percent, total, FREQUENT), "counts")
     sizes = counts.groupBy(F.floor(F.log2("df")).alias("e")).count().collect()
     level, n = 64, 0
     for row in sorted(sizes, key=lambda r: -r["e"]):
@@ -165,7 +176,7 @@ def frequent_shingles(docs: DataFrame, k: int, total: int) -> np.ndarray:
             break
         level, n = row["e"], n + row["count"]
     rows = counts.where(F.col("df") >= F.lit(2.0) ** int(level)).select("token").toPandas()["token"]
-    return np.sort(rows.to_numpy(np.int64).astype(U64))
+    return np.sort(rows.to_numpy(np.int64).astype(U64)), 1 << int(level) if n else FREQUENT
 
 
 def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int, pair_size: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +227,7 @@ def _posting_rows(c: int, s: np.ndarray, frequent: np.ndarray, percent: int, pai
         yield [pa.array(keys.astype(np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.full(n, len(s), np.int64)), pa.array(places.astype(np.int64)), pa.array(np.full(n, hot)), t1, t2, fronts]
 
 
-def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, pair_size: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, frequency: int, pair_size: int) -> DataFrame:
     """The index: an entry for each key and class, without keys of one class; front stands once a class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     names = [x.split()[0] for x in POSTING.split(", ")]
@@ -227,7 +238,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, pair_s
 
         for batch in batches:
             parts, held = [], 0
-            for c, s in _distinct_sets(batch.column(0), k):
+            for c, s in _distinct_sets(batch.column(0), k, percent):
                 for rows in _posting_rows(c, s, shared.value, percent, pair_size):
                     parts.append(rows)
                     held += len(rows[0])
@@ -238,6 +249,8 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, pair_s
                 yield flush(parts)
 
     found = docs.select("text").mapInArrow(each, POSTING)
+    if frequency > SALTED_FROM:
+        found = found.withColumn("hot", F.lit(True))
     found = found.withColumn("salt", F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "key", "salt").dropDuplicates(["key", "salt", "cls"])
@@ -261,15 +274,15 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _bloom(ids: DataFrame) -> np.ndarray:
     """A bit for each hash of an id: BLOOM_BITS bits, whatever the number of ids."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    words = ids.select((at / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BLOOM_BITS}) % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    at = F.pmod(F.xxhash64("key"), F.lit(BLOOM_BITS))
+    words = ids.select((at / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {BLOOM_BITS}) % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(BLOOM_BITS // 32, np.uint32)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
 def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(cls, elements) of the classes in ``needed`` (cls, doc_id), from whole texts."""
+    """(cls, elements) of the classes in ``needed`` (cls, key), from whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(needed))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +292,11 @@ def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 sets = list(document_shingles(part.column(1), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cls", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "cls", "elements"])
 
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("at"))
-    sets = keyed.mapInArrow(each, "doc_id long, cls long, elements binary")
-    return needed.join(sets, ["doc_id", "cls"]).dropDuplicates(["cls"]).select("cls", "elements")
+    keyed = docs.select("key", "text", F.pmod(F.xxhash64("key"), F.lit(BLOOM_BITS)).alias("at"))
+    sets = keyed.mapInArrow(each, "key long, cls long, elements binary")
+    return needed.join(sets, ["key", "cls"]).dropDuplicates(["cls"]).select("cls", "elements")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -309,7 +322,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     if close.isEmpty():
         return close
     used = close.select(F.col("a").alias("cls")).union(close.select(F.col("b").alias("cls"))).distinct()
-    needed = materialize(used.join(classes, "cls").select("cls", "doc_id"), "needed")
+    needed = materialize(used.join(classes, "cls").select("cls", "key"), "needed")
     sets = materialize(_sets(docs, needed, k), "sets")
     both = close.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("a_set")), "a").join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("b_set")), "b")
     return materialize(both.mapInPandas(exact, "a long, b long"), "links")
@@ -322,14 +335,20 @@ def _open(index: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(split, "key", "left_semi")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, pair_size: int = PAIR_SIZE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialize(document_classes(docs, k), "members")
-    known = docs.where("doc_id is not null")
-    classes = materialize(members.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text); the key of a row without an id is a hash of its text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
+
+
+def _components(known: DataFrame, members: DataFrame, k: int, percent: int, pair_size: int) -> DataFrame:
+    """(cls, doc_id, key, component) of the classes of ``members``, whose texts are in ``known``: doc_id is the smallest
+    of the class, key that of its row (of any row, where none has an id)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    classes = members.where("n > 0").groupBy("cls").agg(first.alias("m"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes.select("cls", "m.doc_id", "m.key", "n", "bits"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    index = materialize(postings(known, k, percent, frequent_shingles(known, k, int(total)), pair_size), "index")
+    index = materialize(postings(known, k, percent, *frequent_shingles(known, k, percent, int(total)), pair_size), "index")
 
     # Every class with the leader of its entry; the leaders of a frequent entry's salts with their own leader.
     star = index.select(F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("lead").alias("y"), F.col("lead_n").alias("y_n"))
@@ -344,9 +363,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # In entries that still hold several components, one class of each, drawn anew for each entry,
     # meets one of the largest there: whatever is near a large group meets many of its members.
     for turn in range(ROUNDS):
-        heads = _open(index, found).groupBy("key", "component").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("key", "cls", F.lit(turn)).alias("r"), "cls", "n", (F.col("n") - F.col("place")).alias("rest"))).alias("m"))
-        top = F.expr("max(struct(held, m)) over (partition by key)").getField("m")
-        star = heads.select("m", top.alias("t")).select(F.col("m.cls").alias("x"), F.col("m.n").alias("x_n"), F.col("m.rest").alias("x_rest"), F.col("t.cls").alias("y"), F.col("t.n").alias("y_n"), F.col("t.rest").alias("y_rest"))
+        heads = materialize(_open(index, found).groupBy("key", "component").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("key", "cls", F.lit(turn)).alias("r"), "cls", "n", (F.col("n") - F.col("place")).alias("rest"))).alias("m")), "heads")
+        tops = heads.groupBy("key").agg(F.max(F.struct("held", "m")).getField("m").alias("t"))
+        star = heads.join(tops, "key").select(F.col("m.cls").alias("x"), F.col("m.n").alias("x_n"), F.col("m.rest").alias("x_rest"), F.col("t.cls").alias("y"), F.col("t.n").alias("y_n"), F.col("t.rest").alias("y_rest"))
         new = materialize(_candidates(star.where(_reaches(percent)), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
@@ -359,18 +378,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Then pairs of classes of different components, each at the first entry that they share.
     fronts = index.where("front is not null").select("cls", "front").dropDuplicates(["cls"])
     open_ = materialize(_open(index, found).drop("front").join(fronts, "cls", "left").withColumn("front", F.when(F.col("t1").isNotNull(), F.col("front"))), "open")
-    side = lambda c: open_.select("key", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_in"), (F.col("n") - F.col("place")).alias(f"{c}_rest"), F.col("front").alias(f"{c}_front"), *([F.col("t1"), F.col("t2")] if c == "x" else []))
+    # An entry of many classes is dealt in blocks: each block of one side meets all of the other.
+    blocks = open_.groupBy("key").agg(F.least(F.ceil(F.count("*") / CROWD), F.lit(1024)).cast("int").alias("blocks"))
+    open_ = open_.join(blocks, "key")
+    names = lambda c: ["key", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_in"), (F.col("n") - F.col("place")).alias(f"{c}_rest"), F.col("front").alias(f"{c}_front")]
+    x = open_.select(*names("x"), "t1", "t2", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    y = open_.select(*names("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     fits = (F.col("x_in") != F.col("y_in")) & (F.col("x") < F.col("y")) & _reaches(percent)
     first = F.expr("x_front is null or y_front is null or slice(array_sort(array_intersect(x_front, y_front)), 1, 2) = array(t1, t2)")
-    rest = side("x").join(side("y"), "key").where(fits & first).select("x", "x_n", "y", "y_n")
+    rest = x.join(y, ["key", "block"]).where(fits & first).select("x", "x_n", "y", "y_n")
     rest = materialize(_candidates(rest, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = _verified(known, classes, rest, k, percent)
         if not more.isEmpty():
             found = connected_components(links.union(more)).select(F.col("node").alias("cls"), "component")
 
-    named = classes.select("cls", "doc_id").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return classes.select("cls", "doc_id", "key").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, pair_size: int = PAIR_SIZE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    docs = _keyed(docs, id_col, text_col)
+    members = materialize(document_classes(docs, k), "members")
+    named = _components(docs.where("doc_id is not null"), members.where("doc_id is not null"), k, percent, pair_size)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select("cls", "component_id")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return members.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, pair_size: int = PAIR_SIZE) -> DataFrame:
+    """``docs``, with all their columns, without all but one row of each group of near copies: the one with the smallest id
+    stays (of rows without an id, any).  Rows whose text is null or blank are copies of nothing and stay."""
+    rows = _keyed(docs, id_col, text_col)
+    members = materialize(document_classes(rows, k), "members")
+    named = _components(rows, members, k, percent, pair_size)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "key"))
+    kept = named.groupBy("component").agg(best.alias("m")).select(F.col("m.cls").alias("kept_cls"), F.col("m.key").alias("kept_key"))
+
+    where, names = docs.schema.fieldNames().index(text_col), docs.schema.fieldNames()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = pa.array([class_id(s) for s in document_shingles(batch.column(where), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names), cls], ["row", "cls"])
+
+    blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    tagged = docs.where(~blank).mapInArrow(each, StructType([StructField("row", docs.schema), StructField("cls", LongType())]))
+    tagged = tagged.withColumn("key", F.coalesce(F.col("row")[id_col].cast("long"), F.xxhash64(F.col("row")[text_col].cast("string"))))
+    # A class spreads over the ids of its rows, so copies do not meet in one task; rows that repeat an id and a text do at last.
+    one = tagged.join(kept, (F.col("cls") == F.col("kept_cls")) & (F.col("key") == F.col("kept_key")), "left_semi").dropDuplicates(["cls", "key"])
+    return one.select("row.*").unionByName(docs.where(blank))

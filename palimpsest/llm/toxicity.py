@@ -7,30 +7,34 @@ the intersection of the lexicon's trie with Levenshtein automata of one edit, bu
 lazily as a deterministic automaton: a term is found exactly or with one letter
 replaced, added or left out.  The weights of misspelled forms come from the same
 labelled rows, so a form that clean text uses counts for nothing.  Each find looks at a
-window of words around it; between quotation marks and with a reporting verb near, it
-counts QUOTED as much.  score is the logistic of the prior and the strongest find of
+window of words around it; in a quotation (an opening mark before and a closing one after it,
+both in the window) and with a reporting verb near, it counts QUOTED as much.  score is the logistic of the prior and the strongest find of
 each term (``combined``).
 
 ``sample`` bounds the labelled rows that fit the lexicon (a hash of the id chooses them
 evenly); counts of those rows alone go to the driver.  Every whole text is scored.
 
 Defined results: null, blank and unmatched texts get the prior; with no toxic training
-row there are no terms, and the score is PRIOR_MOST at most, so below one half; rows with
-a null label or id do not train; contradicting labels of one id count as toxic; a null
+row there are no terms, and the score is PRIOR_MOST at most, so below one half; with no clean
+training row there are none either, and all texts score PRIOR_MOST; words of one or two
+letters, which an edit makes of one another, are no terms; rows with a null label or id do not
+train; contradicting labels of one id count as toxic; a null
 id is scored, with held_out null; repeated rows are scored as often as they come; empty
-tables give none; columns other than ids, texts and labels are not read.
+tables give none; columns other than ids, texts and labels are not read.  ``without_toxic``
+judges each row by its own text, whatever its id, and drops it where it stands.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 8000
@@ -147,20 +151,43 @@ class _Finds(dict):
         return out
 
 
-def context(tokens: list[str], at: int) -> float:
-    """The part of a find that counts: QUOTED of it inside quotation marks near a reporting verb."""
-    before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
-    opened = any(t[0] in MARKS for t in [*before, tokens[at]]) and any(t[-1] in MARKS or t[-2:-1] in MARKS for t in [tokens[at], *after])
-    return QUOTED if opened and any(bare(t) in REPORTS for t in [*before, *after]) else 1.0
+def quotations(tokens: list[str]) -> list[tuple[int, int]]:
+    """First and last token of each quotation.
+
+    A mark before a word opens one, a mark after a word (or after it and its punctuation) closes it; a mark that
+    stands alone closes an open one, or else opens one. A quotation that opens inside another takes its place.
+    """
+    out, first = [], None
+    for i, t in enumerate(tokens):
+        opens, closes = t[0] in MARKS, t[-1] in MARKS or t[-2:-1] in MARKS
+        if (opens or closes) and not bare(t):
+            opens, closes = first is None, first is not None
+        if opens:
+            first = i
+        if closes and first is not None:
+            out.append((first, i))
+            first = None
+    return out
+
+
+def context(tokens: list[str], at: int, quoted: list[tuple[int, int]]) -> float:
+    """The part of a find that counts: QUOTED of it inside a quotation near a reporting verb."""
+    k = bisect_right(quoted, (at, len(tokens))) - 1
+    if k < 0 or not (quoted[k][0] >= at - WINDOW and at <= quoted[k][1] <= at + WINDOW):
+        return 1.0
+    near = [*tokens[max(0, at - WINDOW) : at], *tokens[at + 1 : at + 1 + WINDOW]]
+    return QUOTED if any(bare(t) in REPORTS for t in near) else 1.0
 
 
 def _found(text: str, finds: _Finds) -> dict[tuple[int, int], float]:
     """(term, edits) -> the strongest context it stands in."""
     tokens = text.lower().split()
     out: dict[tuple[int, int], float] = {}
+    quoted = None
     for at, hits in enumerate(map(finds.__getitem__, tokens)):
         if hits:
-            weight = context(tokens, at)
+            quoted = quotations(tokens) if quoted is None else quoted
+            weight = context(tokens, at, quoted)
             for x in hits:
                 if weight > out.get(x, 0.0):
                     out[x] = weight
@@ -199,7 +226,7 @@ def combined(finds: dict[tuple[int, int], float], weights: dict[tuple[int, int],
     for (t, e), part in finds.items():
         if (w := weights.get((t, e), 0.0) * part) > best.get(t, 0.0):
             best[t] = w
-    return sum(w / 2**i for i, w in enumerate(sorted(best.values(), reverse=True)[:8])), len(best)
+    return sum(w / 2**i for i, w in enumerate(sorted(best.values(), reverse=True))), len(best)
 
 
 def _term_counts(train: DataFrame) -> DataFrame:
@@ -208,7 +235,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
             counts = {0: Counter(), 1: Counter()}
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
                 own = {bare(t) for t in (text or "").lower().split()}
-                terms = {(w, WORD) for w in own if 3 <= len(w) <= 24}
+                terms = {(w, WORD) for w in own if len(w) >= 3}
                 terms |= {(w[:n], STEM) for w in own for n in STEM_LENGTHS if len(w) > n}
                 counts[int(toxic)].update(terms)
             rows = [(t, k, n, 0) for (t, k), n in counts[1].items()] + [(t, k, 0, n) for (t, k), n in counts[0].items() if (t, k) in counts[1] or n > 0]
@@ -282,23 +309,47 @@ def weigh(lexicon: Lexicon, counts: dict[tuple[int, int], tuple[int, int]], base
     return weights
 
 
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[Lexicon, dict[tuple[int, int], float], float]:
+    """What the labels whose crc32(id) mod 5 is not 0 teach."""
+    train = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where(~held_out())
+    return fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), train, sample)
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def scored(texts: pa.Array, model: tuple[Lexicon, dict[tuple[int, int], float], float], finds: _Finds) -> Iterator[tuple[float, int]]:
+    """Score and number of terms of each text."""
+    _, weights, prior = model
+    for text in texts:
+        proof, n = combined(_found(text.as_py() or "", finds), weights)
+        yield 1 / (1 + math.exp(-max(-30.0, min(30.0, prior + proof)))), n
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_terms) for each row; labels whose crc32(id) mod 5 is 0 do not train."""
+    shared = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, id_col, text_col, label_col, sample))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    train = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where(~fold)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train, sample))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, weights, prior = shared.value
-        finds = _Finds(lexicon)
+        finds = _Finds(shared.value[0])
         for batch in batches:
-            scores, terms = [], []
-            for text in batch.column(1):
-                proof, n = combined(_found(text.as_py() or "", finds), weights)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, prior + proof)))))
-                terms.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(terms, pa.int32())], ["doc_id", "score", "n_terms"])
-
-    scored = docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_terms int")
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms")
+            score, terms = zip(*scored(batch.column(1), shared.value, finds), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(terms, pa.int32())], ["doc_id", "score", "n_terms"])
+
+    found = docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_terms int")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts score below one half; no row is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, id_col, text_col, label_col, sample))
+    where = docs.schema.fieldNames().index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finds = _Finds(shared.value[0])
+        for batch in batches:
+            yield batch.filter(pa.array([score < 0.5 for score, _ in scored(batch.column(where), shared.value, finds)], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

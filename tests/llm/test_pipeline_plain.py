@@ -74,3 +74,27 @@ def test_run_is_the_stages(spark):
     data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     out = pipeline.run(spark, data)
     assert {"doc_id", "size", "taken"} <= set(out.columns) and out.count() > 100
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Repeated and null ids, map columns and clashing names: no text is lost, no second copy stays."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("bcdfghlmn", k=5))
+    a, b, c, item = (" ".join(word() for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (9, a), (9, b), (None, c), (None, c), (None, a), (5, c), (7, None), (7, None), (None, " "), (8, item), (None, item), (3, b.upper()), (6, "long " * 60_000), (6, "long " * 60_000)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, cls map<string,int>, row int, key string"
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), {"x": 1}, 2, "k") for i, t in rows], kind)
+    kept = pipeline.near_duplicates(spark, frame, "")
+    assert kept.schema == frame.schema
+    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:300]) for r in kept.collect())
+    assert got == sorted([(1, a), (3, b.upper()), (5, c), (7, ""), (7, ""), (-1, " "), (8, item), (6, ("long " * 60_000)[:300])])
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").limit(0).write.parquet(f"{sf}/labels.parquet")
+    assert pipeline.decontamination(spark, frame, sf).count() == len(rows) - 2
+    assert pipeline.toxicity(spark, frame, sf).count() == len(rows)
+    assert pipeline.secret_redaction(spark, frame, sf).schema == frame.schema
+    mixed = pipeline.source_mix(spark, frame, sf)
+    assert mixed.count() == len(rows) and {r.taken for r in mixed.where("size = 0").collect()} == {0}
+    frame.limit(0).write.parquet(f"{sf}/documents.parquet")
+    assert pipeline.run(spark, sf).count() == 0

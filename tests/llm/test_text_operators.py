@@ -51,7 +51,7 @@ def near_copies(rng, n=60):
     return [(100 + i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-def classes(rows):
+def classes(rows, percent=80):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -64,7 +64,7 @@ def classes(rows):
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -99,6 +99,16 @@ def test_index_keys_cover_all_links():
         assert ngram_join.parity_distance(ngram_join.parity_bits(x), ngram_join.parity_bits(y)) <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("percent", [50, 60, 90, 100])
+def test_jaccard_thresholds(spark, monkeypatch, percent):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    rows = near_copies(random.Random(percent), 25)
+    rows += [(5000 + i, " ".join(f"z{i // 2}{j}" for j in range(6 + i % 2))) for i in range(10)]  # sets of 2 and 3 shingles that share 2
+    found = ngram_join.jaccard_components(table(spark, rows), percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == classes(rows, percent)
+
+
 def test_jaccard_odd_rows(spark):
     found = ngram_join.jaccard_components(table(spark, ODD)).collect()
     assert len(found) == len(ODD)
@@ -279,6 +289,40 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(table(spark, []), marks).count() == 0
 
 
+def test_quotations():
+    lexicon = toxicity.Lexicon([("idiot", toxicity.WORD)])
+    part = lambda text: toxicity._found(text, toxicity._Finds(lexicon))[0, 0]
+    for text in ('he said "you idiot" then', "she called him an «idiot», he says", 'he said " you idiot "', '„so ein idiot“ sagte er', 'wrote "a" and "idiot."'):
+        assert part(text) == toxicity.QUOTED, text
+    for text in ('"hi" you idiot he said "bye"', 'you idiot said nobody', '"you idiot" there', 'he said "hi there you idiot', 'he said " hi " you idiot " bye "', 'he said "' + "x " * 9 + 'idiot"'):
+        assert part(text) == 1.0, text
+
+
+def test_toxicity_scores_against_a_plain_model(spark):
+    """Scores worked out anew from the fitted lexicon, by edit distances and without automata or caches."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("aeiourstln", k=rng.randrange(3, 9)))
+    insults = ["grumbok", "zwackel", "plonkard", "zwackolotronificationalistically"]
+    rows = [(i, " ".join(rng.choice(insults) if i % 4 == 0 and j % 9 == 1 else word() for j in range(30))) for i in range(200)]
+    rows += [(300 + i, f'{word()} said "{w}" {word()} {w[:-1]} {w}x!') for i, w in enumerate(insults)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows[:200]], "doc_id long, toxic int")
+    docs = table(spark, rows)
+    lexicon, weights, prior = toxicity._model(docs, marks, "doc_id", "text", "toxic", toxicity.SAMPLE)
+    found = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, marks).collect()}
+    for i, text in rows:
+        tokens, best = text.split(), {}
+        for at, token in enumerate(tokens):
+            w = token.strip('"!.,')
+            quoted = token[0] == '"' and token[-1] == '"' and "said" in tokens[max(0, at - 8) : at + 9]
+            for t, (term, kind) in enumerate(lexicon.terms):
+                e = edits(w, term) if kind == toxicity.WORD else min(edits(w[:n], term) for n in range(len(w) + 1))
+                best[t] = max(best.get(t, 0.0), weights.get((t, e), 0.0) * (0.25 if quoted else 1.0))
+        proof = sum(x / 2**n for n, x in enumerate(sorted((x for x in best.values() if x), reverse=True)))
+        assert abs(found[i] - 1 / (1 + np.exp(-min(30, prior + proof)))) < 1e-9, i
+    alike = toxicity.toxicity_scores(docs, marks.withColumn("toxic", F.lit(1))).collect()
+    assert all(abs(r.score - toxicity.PRIOR_MOST) < 1e-9 for r in alike)
+
+
 def test_language(spark):
     rng = random.Random(8)
     style = {"en": "the and ing tion", "de": "der und ung schaft", "es": "el los ción mente", "fr": "le les eux tion"}
