@@ -20,9 +20,10 @@ as "unplaced"; empty replicas agree; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import materialize
@@ -31,18 +32,20 @@ RANGE_BYTES = 1 << 16
 FANOUT = 16
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 200) -> DataFrame:
-    """(archive, offset, length, payload) of WARC/1.0 resource records, ``per_archive`` ids an archive, in id order.
+def warc_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 200, also: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(archive, id, offset, length, hash) of WARC/1.0 resource records, ``per_archive`` ids an archive, in id order.
 
-    Rows of one id stand in the order of URL and length; a null id has a null archive.
+    Rows of one id stand in the order of URL, length and hash; a null id has a null archive and offset.  ``also`` names
+    further columns, each the hash of a function of the payload.  Payloads are hashed where they are read and do not move.
     """
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     rows = pages.select(F.floor(F.col(id_col) / per_archive).alias("archive"), F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("payload"))
-    rows = rows.withColumn("length", F.octet_length("payload").cast("long"))
-    # An archive holds per_archive ids, so the window is small; tables with offsets of their own need none.
-    start = "coalesce(sum(length) over (partition by archive order by id, url, length rows between unbounded preceding and 1 preceding), 0)"
-    return rows.withColumn("offset", F.when(F.col("archive").isNotNull(), F.expr(start)))
+    more = {name: F.sha2(make(F.col("payload")), 256) for name, make in (also or {}).items()}
+    rows = rows.select("archive", "id", "url", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("hash"), *(c.alias(n) for n, c in more.items()))
+    # An archive holds per_archive ids, so the window is small; rows without one are dealt by their hashes.
+    start = "coalesce(sum(length) over (partition by archive, if(archive is null, hash, '') order by id, url, length, hash rows between unbounded preceding and 1 preceding), 0)"
+    return rows.withColumn("offset", F.when(F.col("archive").isNotNull(), F.expr(start))).select("archive", "id", "offset", "length", "hash", *more)
 
 
 def leaves(records: DataFrame) -> DataFrame:

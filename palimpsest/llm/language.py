@@ -6,9 +6,11 @@ whose votes are weighed by their margins.  A family of one language needs no sec
 
 Features are hashed byte 3- and 4-grams of the whole text (A-Z folded, all but letters and
 non-ASCII bytes made spaces), as unit vectors of square-rooted counts.  The models are
-fitted on ``per_language`` labelled documents of each language at most (about: a hash of the
-id draws them evenly), whose sparse features alone go to the driver; every document is
-predicted, in one pass over the table and without a shuffle.
+fitted on ``per_language`` labelled documents of each language at most, and MOST_ROWS of all
+languages (about: a hash of the id draws them evenly), whose sparse features alone go to the
+driver, where they take 16 KB each; every document is predicted, in one pass over the table
+and without a shuffle.  A text is read SLICE bytes at a time, so its features take bounded
+memory whatever its length.
 
 Defined results: ``und`` and score 0 for a null text, a text without a letter, and for all
 texts when nothing can be learned; with one learned language it is predicted for all, score
@@ -33,6 +35,8 @@ from .session import materialize
 from .textops import chunks, text_buffers
 
 PER_LANGUAGE = 800
+MOST_ROWS = 16_000
+SLICE = 1 << 20
 BITS = 12
 MOST_BROADCAST = 10_000  # languages
 #: Families of languages by ISO 639-1 code; other languages are families of their own.
@@ -54,11 +58,26 @@ for _c in range(256):
         _FOLD[_c] = _c | 32 if 65 <= _c <= 90 else _c
 
 
+def _grams(raw: np.ndarray, most: int) -> np.ndarray:
+    """Counts of the grams that start in the first ``most`` bytes."""
+    own, size = _FOLD[raw], 1 << BITS
+    with np.errstate(over="ignore"):
+        three = own[:-2] | (own[1:-1] << np.uint32(8)) | (own[2:] << np.uint32(16)) if len(own) > 2 else own[:0]
+        four = three[:-1] | (own[3:] << np.uint32(24)) if len(own) > 3 else own[:0]
+        three = (three * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+        four = (four * np.uint32(2246822519)) >> np.uint32(32 - BITS)
+    return np.bincount(three[:most], minlength=size) + np.bincount(four[:most], minlength=size)
+
+
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """A vector of 2 ** BITS counts for each text."""
     raw, offsets = text_buffers(column)
     size = 1 << BITS
     for i, j in chunks(offsets):
+        if offsets[j] - offsets[i] > SLICE:  # one long text; its slices overlap by what the grams across their borders need
+            pieces = [raw[lo : min(lo + SLICE + 3, offsets[j])] for lo in range(offsets[i], offsets[j], SLICE)]
+            yield sum(_grams(own, SLICE) for own in pieces)
+            continue
         own = _FOLD[raw[offsets[i] : offsets[j]]]
         off = offsets[i : j + 1] - offsets[i]
         with np.errstate(over="ignore"):
@@ -73,18 +92,18 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.sqrt(x.astype(np.float32))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 3e-4, steps: int = 150) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated descent."""
-    x = np.hstack([x, np.full((len(x), 1), 1.0, np.float32)])
     part = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     at, rate = w.copy(), 0.2
     for t in range(1, steps + 1):
-        gap = np.maximum(0.0, 1 - y * (x @ at))
-        step = at - rate * (penalty * at - 2 * x.T @ (part * y * gap))
+        gap = part * y * np.maximum(0.0, 1 - y * (x @ at[:-1] + at[-1]))
+        step = at - rate * (penalty * at - 2 * np.append(x.T @ gap, gap.sum()))
         at = step + (t - 1) / (t + 2) * (step - w)
         w = step
     return w
@@ -135,7 +154,9 @@ class Model:
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of (doc_id, text, lang) rows."""
     train = train.where("lang is not null and text is not null and doc_id is not null")
-    counts = materialize(train.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))), "languages")
+    counts = materialize(train.groupBy("lang").count(), "languages")
+    wanted = counts.agg(F.sum(F.least("count", F.lit(per_language)))).first()[0] or 0
+    counts = counts.withColumn("share", F.least(F.lit(1.0), F.lit(per_language * min(1.0, MOST_ROWS / max(1, wanted))) / F.col("count")))
     # A row a language: broadcast, so that texts are not dealt by language; beyond the bound they are.
     counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < (F.col("share") * (1 << 20)).cast("long")

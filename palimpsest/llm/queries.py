@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from . import url_filter
 from .decontaminate import contaminated
-from .fixity import audit, leaves, warc_records
+from .fixity import audit, warc_index
 from .language import identify
 from .mixing import take
 from .ngram_join import jaccard_components
 from .pseudo_likelihood import pseudo_likelihood
 from .secrets import find_secrets, secret_digest
-from .session import table
+from .session import materialize, table
 from .toxicity import toxicity_scores
 from .vectors import nearest
 
@@ -42,11 +42,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC archives, against a replica in which Spark has damaged some: records of which a byte
     differs (id mod 97 is 3), that are lost (5), or that stand only in the replica (7)."""
-    records = warc_records(table(spark, sf_dir, "pages"))
     fate = F.col("id") % 97
-    good = leaves(records.where((fate != 7) | fate.isNull()))
-    flipped = F.when(fate == 3, F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit("X").cast("binary"))).otherwise(F.col("payload"))
-    return audit(good, leaves(records.where((fate != 5) | fate.isNull()).withColumn("payload", flipped)))
+    flip = lambda payload: F.when(fate == 3, F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit("X").cast("binary")))
+    records = materialize(warc_index(table(spark, sf_dir, "pages"), also={"flipped": flip}), "warc")
+    good = records.where((fate != 7) | fate.isNull())
+    return audit(good, records.where((fate != 5) | fate.isNull()).withColumn("hash", F.coalesce("flipped", "hash")))
 
 
 ORACLE_SQL["op3_warc_fixity"] = """

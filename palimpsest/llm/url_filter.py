@@ -7,6 +7,9 @@ Rules are keyed the same way (host + the path up to its last slash).  URLs and r
 an equi-join on the first PREFIX_BITS of the expression's SHA-256, then the full digest and
 the rest of the rule's path are confirmed and the longest rule is taken.
 
+The verdict of a pair that more than one row in HOT_SHARE has (no more than HOT_SHARE pairs do)
+is broadcast; those of the others come back by shuffle, in which rows without a host take no part.
+
 Suffixes have no more labels, and prefixes no more slashes, than the longest rule has; that
 loses nothing, as longer ones equal no rule.  Distinct (host, path) pairs are judged once, so
 a common host or page costs one row.  A rule list of up to ``broadcast_rules`` rows is
@@ -23,8 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import materialize
+
 PREFIX_BITS = 32
 BROADCAST_RULES = 100_000
+HOT_SHARE = 100
 #: The rules of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -55,13 +61,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules = rules.withColumn("r_digest", _digest(F.concat("r_host", base))).withColumn("key", _prefix(F.col("r_digest")))
     size, labels, slashes = rules.agg(F.count("*"), F.max(F.size(F.split("r_host", r"\."))), F.max(F.length("r_path") - F.length(F.replace("r_path", F.lit("/"), F.lit(""))))).first()
 
-    urls = pages.where("host <> ''").select("host", "path").distinct()
+    urls = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("rows"))
     parts = F.split("host", r"\.", -1)
     suffixes = F.expr(f"transform(sequence(1, least(size(labels), {labels or 1})), i -> array_join(slice(labels, -i, i), '.'))")
     # The path up to each of its first slashes, and the empty one, for rules without a slash.
     prefixes = F.expr(f"transform(sequence(0, least(size(steps) - 1, {slashes or 0})), i -> if(i = 0, '', concat(array_join(slice(steps, 1, i), '/'), '/')))")
     wide = urls.withColumn("labels", parts).withColumn("steps", F.split("path", "/", -1))
-    wide = wide.select("host", "path", F.explode(suffixes).alias("s"), prefixes.alias("p")).select("host", "path", F.explode("p").alias("p"), "s")
+    wide = wide.select("host", "path", "rows", F.explode(suffixes).alias("s"), prefixes.alias("p")).select("host", "path", "rows", F.explode("p").alias("p"), "s")
     wide = wide.withColumn("digest", _digest(F.concat("s", "p"))).withColumn("key", _prefix(F.col("digest")))
     if size <= broadcast_rules:
         rules = F.broadcast(rules)
@@ -69,10 +75,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         rules = rules.join(wide.select("key").distinct(), "key", "left_semi")
     fit = wide.join(rules, "key").where("digest = r_digest and s = r_host and startswith(path, r_path)")
     rule = F.concat("r_host", "r_path")
-    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), "r_verdict", rule.alias("rule"))).alias("best"))
-    found = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
-    out = pages.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = fit.groupBy("host", "path").agg(F.max("rows").alias("rows"), F.max(F.struct(F.length(rule).alias("n"), "r_verdict", rule.alias("rule"))).alias("best"))
+    found = materialize(best.select(F.col("host").alias("h"), F.col("path").alias("p"), "rows", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict")), "verdicts")
+    is_hot = F.col("rows") * HOT_SHARE > pages.count()
+    hot = F.broadcast(found.where(is_hot).select(F.col("h").alias("hot_h"), F.col("p").alias("hot_p"), F.col("rule").alias("hot_rule"), F.col("verdict").alias("hot_verdict")))
+    out = pages.join(hot, (F.col("host") == F.col("hot_h")) & (F.col("path") == F.col("hot_p")), "left")
+    # Rows that need no partner are dealt by their ids.
+    asks = (F.col("host") != "") & F.col("hot_h").isNull()
+    out = out.withColumn("ask_h", F.when(asks, F.col("host"))).withColumn("ask_p", F.when(asks, F.col("path")).otherwise(F.xxhash64("page_id").cast("string")))
+    out = out.join(found.where(~is_hot), (F.col("ask_h") == F.col("h")) & (F.col("ask_p") == F.col("p")), "left")
+    return out.select("page_id", "host", "path", F.coalesce("rule", "hot_rule").alias("rule"), F.coalesce("verdict", "hot_verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = """

@@ -119,6 +119,24 @@ def test_null_payloads(spark):
     assert rows.transform(fixity.leaves).select("hash").distinct().count() == 2
 
 
+def test_warc_index_of_odd_rows(spark):
+    """Rows that tie on id, URL and length stand in the order of their hashes, however they are dealt; null ids have no place."""
+    rows = [(1, "u", "aa"), (1, "u", "bb"), (1, "u", "cc"), (2, None, None), (3, "v", "x" * 200_000), (None, "u", "a"), (None, None, None), (250, "w", "")]
+    kind = "page_id long, url string, html string"
+    seen = set()
+    for order in (rows, rows[::-1]):
+        pages = spark.createDataFrame(order, kind).repartition(5).withColumns({"archive": F.lit("x"), "hash": F.lit("y"), "id": F.lit(1), "offset": F.lit(2)})
+        found = fixity.warc_index(pages.select("page_id", "url", "html", "archive", "hash", "id", "offset"), also={"more": lambda payload: F.concat(payload, payload)})
+        seen.add(tuple(sorted(map(str, found.collect()))))
+        placed = found.where("archive = 0").orderBy("offset").collect()
+        assert [r.id for r in placed] == [1, 1, 1, 2, 3] and all(x.offset + x.length == y.offset for x, y in zip(placed, placed[1:], strict=False))
+        assert [r.hash for r in placed[:3]] == sorted(r.hash for r in placed[:3])
+        assert found.where("id is null and offset is null and archive is null").count() == 2
+        assert fixity.audit(found, found).where("finding <> 'unplaced'").count() == 0
+    assert len(seen) == 1
+    assert fixity.warc_index(spark.createDataFrame([], kind)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()

@@ -323,7 +323,7 @@ def test_toxicity_scores_against_a_plain_model(spark):
     assert all(abs(r.score - toxicity.PRIOR_MOST) < 1e-9 for r in alike)
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
     rng = random.Random(8)
     style = {"en": "the and ing tion", "de": "der und ung schaft", "es": "el los ción mente", "fr": "le les eux tion"}
     rows = [(i, lang, " ".join("".join(rng.choices(style[lang].split(), k=2)) for _ in range(rng.randrange(5, 40)))) for i, lang in enumerate(rng.choices(list(style), k=400))]
@@ -332,6 +332,10 @@ def test_language(spark):
     held = [(i, lang) for i, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([found[i].lang_pred == lang for i, lang in held]) >= 0.97
     assert all(0 <= r.score <= 1 for r in found.values())
+    texts = pa.array([rows[0][2] * 3000, "ab", None, "x" * 90_000, rows[1][2]])
+    whole = list(language.features(texts))
+    monkeypatch.setattr(language, "SLICE", 70_000)
+    assert all((a == b).all() for a, b in zip(whole, language.features(texts), strict=True))
     odd = language.identify(table(spark, ODD, lang="en")).collect()
     assert {(r.doc_id, r.lang_pred) for r in odd if r.doc_id in (1, 2, 3, 4, 10)} == {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (10, "und")}
     assert {r.lang_pred for r in language.identify(table(spark, ODD)).collect()} == {"und"}
