@@ -3,14 +3,17 @@
 Fit.  On a bounded sample of distinct vectors (``sample``, drawn by a hash) the neighbour
 graph is built in blocks and partitioned in balance: the graph is smoothed from a random
 projection of its nodes and split at the median, again and again, so that all parts have
-equal size and few edges are cut.  A small softmax classifier then learns to tell a vector's
-part.  The number of probed parts is the smallest that finds PROBE_RECALL of the
-sample's own neighbours.
-
-Index and search.  Every distinct vector goes to its most probable part, every query to the
-``probes`` most probable ones, and both meet in an equi-join on part; a part is cut into
-cells of about ``cell`` vectors, so no task holds more, and each cell returns its best
-``k`` + 1 for a query.  Candidates are reranked by the inner product in double precision.
+equal size and few edges are cut.  There are as many parts as PART_ROWS vectors each need,
+and no more than PART_SAMPLE sampled vectors each allow.  A small softmax classifier then
+learns to tell a vector's part.  A query probes its most probable parts until they hold the
+probability ``mass`` that, on held-out vectors of the sample, finds PROBE_RECALL of their
+neighbours: a query in the middle of a part probes few, one between parts more.
+
+Index and search.  Every distinct vector goes to its most probable part, every query to those
+it probes, and both meet in an equi-join on part.  A part of many vectors is cut into cells of
+about ``cell``, its queries into blocks of about QUERIES, and each cell meets each block in a
+group of its own, so no task holds more of either side; each cell returns its best ``k`` + 1
+for a query.  Candidates are reranked by the inner product in double precision.
 
 Copies.  Equal vectors are one, and carry their ``k`` + 1 smallest ids: with ties going to
 the smaller id, no answer needs more of them, so this loses nothing.  Equal queries are
@@ -24,7 +27,7 @@ empty table gives none; columns other than id and vector are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,10 +37,13 @@ from pyspark.sql import functions as F
 
 from .session import materialize
 
-SAMPLE = 8000
-PART = 250  # sample vectors in a part, about
-PROBE_RECALL = 0.96
+SAMPLE = 10_000
+PART_ROWS = 250  # vectors in a part, about, as long as the sample tells so many parts apart
+PART_SAMPLE = 125
+HELD_OUT = 1000
+PROBE_RECALL = 0.93
 CELL = 4000
+QUERIES = 4000
 NEIGHBOURS = 20
 
 
@@ -112,29 +118,37 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def ranked(self, x: np.ndarray, most: int) -> np.ndarray:
-        z = np.maximum((x * self.scale) @ self.a + self.b, 0) @ self.c + self.e
-        most = min(most, self.parts)
-        top = np.argpartition(-z, most - 1, axis=1)[:, :most] if most < self.parts else np.tile(np.arange(self.parts), (len(x), 1))
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1)
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self._soft(np.maximum((x * self.scale) @ self.a + self.b, 0) @ self.c + self.e)
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """For each vector and part the probability of the parts that are more probable (of equals, come first)."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        held = np.take_along_axis(p, order, 1)
+        out = np.empty_like(p)
+        np.put_along_axis(out, order, np.cumsum(held, axis=1) - held, 1)
+        return out
+
+    def best(self, x: np.ndarray) -> np.ndarray:
+        return self.probabilities(x).argmax(axis=1)
 
 
-def fit(x: np.ndarray, k: int, seed: int = 7) -> tuple[Router, int]:
-    """A router over the sample, and the number of parts to probe."""
+def fit(x: np.ndarray, k: int, n: int, seed: int = 7) -> tuple[Router, float]:
+    """A router over the sample of n vectors, and the mass to probe."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
-    parts = max(1, len(x) // PART)
+    parts = max(1, min(n // PART_ROWS, len(x) // PART_SAMPLE))
     if parts == 1:
-        return Router(x, np.zeros(len(x), np.int64), rng), 1
-    graph = neighbours(x, NEIGHBOURS)
-    router = Router(x, balanced_parts(x, graph, parts, rng), rng)
-    own = router.ranked(x, 1)[:, 0]
-    probes = rng.permutation(len(x))[:1000]
-    order = router.ranked(x[probes], router.parts)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(router.parts)[None, :], 1)
-    needed = np.take_along_axis(place, own[graph[probes, :k]], 1)
-    return router, int(np.quantile(needed, PROBE_RECALL, method="higher")) + 1
+        return Router(x, np.zeros(len(x), np.int64), rng), 1.0
+    order = rng.permutation(len(x))
+    held, x = x[order[: min(HELD_OUT, len(x) // 8)]], x[order[min(HELD_OUT, len(x) // 8) :]]
+    router = Router(x, balanced_parts(x, neighbours(x, NEIGHBOURS), parts, rng), rng)
+    # The sample is thinner than the whole: its nearest few are as near as the whole's k nearest.
+    few = max(1, min(len(x), round(k * len(x) / n)))
+    near = np.argpartition(-(held @ x.T), few - 1, axis=1)[:, :few]
+    needed = np.take_along_axis(router.before(held), router.best(x)[near], 1)
+    return router, float(np.quantile(needed, PROBE_RECALL, method="higher"))
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
@@ -172,24 +186,35 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     bound = int(min(1.0, sample / max(n, 1)) * (1 << 30))
     drawn = distinct.where(F.pmod(F.xxhash64("v", F.lit("sample")), F.lit(1 << 30)) < bound).select("v").toPandas()["v"]
     x = np.stack([np.frombuffer(v, np.float64) for v in sorted(drawn)]) if len(drawn) else np.zeros((0, dim))
-    router, probes = fit(x, k)
+    router, mass = fit(x, k, n)
     shared = spark.sparkContext.broadcast(router)
-    cells = max(1, round(n / router.parts / cell))
 
-    def routed(most: int) -> object:
+    def routed(probe: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for lo in range(0, len(whole), 2048):
                     batch = whole.slice(lo, 2048)
-                    v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(len(batch), dim)
-                    top = shared.value.ranked(v.astype(np.float32), most)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(top.astype(np.int32)), pa.list_(pa.int32()))], ["vid", "v", "parts"])
+                    v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(len(batch), dim).astype(np.float32)
+                    if probe:
+                        row, part = np.nonzero(shared.value.before(v) <= mass)
+                    else:
+                        row, part = np.arange(len(batch)), shared.value.best(v)
+                    batch = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32))], ["vid", "v", "part"])
 
         return each
 
-    place = "vid long, v binary, parts array<int>"
-    index = distinct.select("vid", "v").mapInArrow(routed(1), place).select("vid", "v", F.col("parts")[0].alias("part"), F.pmod(F.xxhash64("vid", F.lit("cell")), F.lit(cells)).cast("int").alias("cell"))
-    query = asked.select("vid", "v").distinct().mapInArrow(routed(probes), place).select("vid", "v", F.explode("parts").alias("part")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    place = "vid long, v binary, part int"
+    index = distinct.select("vid", "v").mapInArrow(routed(False), place)
+    query = asked.select("vid", "v").distinct().mapInArrow(routed(True), place)
+    # A row a part: how many cells and query blocks it is cut into.
+    held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    come = {r["part"]: r["count"] for r in query.groupBy("part").count().collect()}
+    shape = F.broadcast(spark.createDataFrame([(p, -(-c // cell), -(-come[p] // QUERIES)) for p, c in held.items() if p in come], "part int, cells int, blocks int"))
+    cut = lambda col, name: F.pmod(F.xxhash64("vid", F.lit(name)), F.col(col)).cast("int").alias(name)
+    every_one = lambda col, name: F.explode(F.sequence(F.lit(0), F.col(col) - 1)).alias(name)
+    index = index.join(shape, "part").select("vid", "v", "part", cut("cells", "cell"), every_one("blocks", "block"))
+    query = query.join(shape, "part").select("vid", "v", "part", every_one("cells", "cell"), cut("blocks", "block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -207,7 +232,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             out.append(pd.DataFrame({"q": part["vid"].to_numpy()[i], "vid": own[j], "score": s[i, j]}))
         return pd.concat(out)
 
-    near = index.groupBy("part", "cell").cogroup(query.groupBy("part", "cell")).applyInPandas(search, "q long, vid long, score double")
+    near = index.groupBy("part", "cell", "block").cogroup(query.groupBy("part", "cell", "block")).applyInPandas(search, "q long, vid long, score double")
     best = F.expr("row_number() over (partition by q order by score desc, vid)")
     # Each query's best vectors, with the exact measure, then their ids; equal scores at the end are kept until ids decide.
     cut = F.expr(f"nth_value(score, {k + 1}) over (partition by q order by score desc, vid rows between unbounded preceding and unbounded following)")

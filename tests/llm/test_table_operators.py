@@ -43,6 +43,36 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+@pytest.mark.parametrize(("cell", "queries"), [(vectors.CELL, vectors.QUERIES), (40, 7)])
+def test_routing_prunes_clusters(spark, monkeypatch, cell, queries):
+    """Many parts: at most half of the vectors are scored where there are clusters, and the recall holds; parts in cells and blocks."""
+    monkeypatch.setattr(vectors, "QUERIES", queries)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16)) * 3
+    x = centres[rng.integers(0, 40, 5000)] + rng.standard_normal((5000, 16))
+    x[:1600] = x[0] + 0.01 * rng.standard_normal((1600, 16))  # a third in one place
+    router, mass = vectors.fit(x[rng.permutation(5000)[:3000]], 20, 5000)
+    own = router.best(x.astype(np.float32))
+    sizes = np.bincount(own, minlength=router.parts)
+    asked = np.arange(0, 5000, 20)
+    scored = ((router.before(x[asked].astype(np.float32)) <= mass) * sizes).sum(axis=1).mean() / 5000
+    assert router.parts == 20 and scored <= 0.5
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vectors.nearest(frame, sample=3000, cell=cell).toPandas()
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    hits = [len(set(np.argsort(-s[i], kind="stable")[:20]) & set(found.loc[found["query_id"] == q, "vec_id"])) for i, q in enumerate(asked)]
+    assert sum(hits) / (20 * len(asked)) >= 0.9 and found.groupby("query_id").size().eq(20).all()
+
+
+def test_router_ties():
+    """Vectors that the router cannot tell apart go to one part and probe the same ones."""
+    router = vectors.Router(np.zeros((0, 3), np.float32), np.zeros(0, np.int64), np.random.default_rng(0))
+    router.parts, router.c, router.e = 4, np.zeros((128, 4), np.float32), np.zeros(4, np.float32)
+    x = np.ones((5, 3), np.float32)
+    assert router.best(x).tolist() == [0] * 5 and np.allclose(router.before(x), [[0, 0.25, 0.5, 0.75]] * 5)
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((100, 5)) + 6 * np.eye(5)[k] for k in range(4)]).astype(np.float32)
