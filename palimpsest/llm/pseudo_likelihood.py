@@ -4,8 +4,9 @@ A window network predicts every token from SIDE tokens before and after it; a do
 score is the sum of its conditional log-probabilities, and their mean.
 
 Vocabulary.  All words of all documents are counted.  The most frequent are classes of
-their own; the others fall into RARE hashed classes, inside which every word has its own
-share, its count by the class's: a token's probability is the network's of the class times
+their own; the others fall into RARE classes by their last two bytes, which tell language and
+form, so that the words around tell something about them.  Inside a class every word has its
+own share, its count by the class's: a token's probability is the network's of the class times
 that share.  The counts of the KNOWN most frequent words go to the tasks; those of all
 others, however many, are joined in Spark.  Class 0 stands for what is beyond a document's
 ends.
@@ -15,6 +16,8 @@ offset drawn from its text that moves on by one a pass; as many passes as MASK_O
 make every token a target.  Every task trains a copy of the network in numpy on its
 documents; the copies are averaged, weighted by tokens, in a Spark aggregate over the
 coordinates, so only one network's weights reach the driver, however many tasks there are.
+The weights, and so the last digits of the scores, depend on how the table is dealt to tasks.
+A text is held whole, its tokens in a few arrays.
 
 Defined results: null and blank texts have no tokens, a log-likelihood of 0 and a null mean;
 without any word the network is not trained and all rows are such; repeated rows and null
@@ -32,28 +35,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import materialize
-from .textops import U64, document_words
+from .textops import U64, document_words_and_endings, mix
 
-CLASSES, RARE = 128, 32
+CLASSES, RARE = 128, 96
 SIDE = 2
 WIDTH, HIDDEN = 12, 24
 ROUNDS, MASK_ONE_IN = 2, 2  # every token is a target
 KNOWN = 200_000  # words whose counts are broadcast (16 bytes each)
-BATCH, RATE = 256, 0.01
+BATCH, RATE = 1024, 0.04
 BLOCK = 1024
 
 
+def rare_classes(endings: np.ndarray) -> np.ndarray:
+    return (CLASSES - RARE + mix(endings.astype(U64)) % U64(RARE)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): hash and count of every word of the corpus; batches are counted before they are shuffled."""
+    """(word, n, rare): hash and count of every word of the corpus, and its class if it is a rare one; batches are counted before they are shuffled."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [w for w in document_words(batch.column(0)) if len(w)]
+            held = [(w, end) for w, end in document_words_and_endings(batch.column(0)) if len(w)]
             if held:
-                w, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+                w, first, n = np.unique(np.concatenate([w for w, _ in held]), return_index=True, return_counts=True)
+                rare = rare_classes(np.concatenate([end for _, end in held])[first])
+                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32))], ["word", "n", "rare"])
 
-    return docs.select("text").mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(each, "word long, n long, rare int").groupBy("word").agg(F.sum("n").alias("n"), F.min("rare").alias("rare"))
 
 
 class Vocabulary:
@@ -69,16 +77,16 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
-    def log_shares(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+    def log_shares(self, w: np.ndarray, classes: np.ndarray) -> tuple[float, np.ndarray]:
         """Sum of the tokens' log-shares of their classes, in which the words returned still lack the log of their count."""
         if not len(w):
             return 0.0, w
         at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
         is_known = self.known[at] == w
-        return float(self.log_known[at[is_known]].sum() - np.log(np.maximum(self.counts[self.classes(w)], 1)).sum()), w[~is_known]
+        return float(self.log_known[at[is_known]].sum() - np.log(np.maximum(self.counts[classes], 1)).sum()), w[~is_known]
 
-    def classes(self, w: np.ndarray) -> np.ndarray:
-        rare = (CLASSES - RARE + (w >> U64(40)) % U64(RARE)).astype(np.int64)
+    def classes(self, w: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        rare = rare_classes(endings)
         if not len(self.words):
             return rare
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
@@ -90,13 +98,12 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
     words, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
     top = words[: CLASSES - RARE - 1]
-    bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(RARE)).alias("bucket")
     rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(w),) for w in top], "word long")), "word", "left_anti")
-    sums = rare.groupBy(bucket).agg(F.sum("n").alias("n")).collect()
+    sums = rare.groupBy("rare").agg(F.sum("n").alias("n")).collect()
     vocab = Vocabulary(top.tolist(), np.zeros(CLASSES), words, n, counts if len(words) == KNOWN else None)
-    vocab.counts[vocab.classes(top.astype(U64))] = n[: len(top)]
+    vocab.counts[np.searchsorted(vocab.words, top.astype(U64)) + 1] = n[: len(top)]
     for r in sums:
-        vocab.counts[CLASSES - RARE + int(r["bucket"])] = r["n"]
+        vocab.counts[r["rare"]] = r["n"]
     return vocab
 
 
@@ -170,8 +177,8 @@ def _lines(column: pa.Array, vocab: Vocabulary, size: int = 1 << 14) -> Iterator
     """Lines of documents' classes with SIDE zeros around each, where each document stands, and its words."""
     gap = np.zeros(SIDE, np.int64)
     parts, spans, held, at = [gap], [], [], SIDE
-    for w in document_words(column):
-        c = vocab.classes(w)
+    for w, end in document_words_and_endings(column):
+        c = vocab.classes(w, end)
         parts += [c, gap]
         spans.append((at, at + len(c)))
         held.append(w)
@@ -235,7 +242,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for line, spans, held in _lines(batch.column(1), vocab):
                 p = net.log_probabilities(line)
                 for (a, b), w in zip(spans, held, strict=True):
-                    share, others = vocab.log_shares(w)
+                    share, others = vocab.log_shares(w, line[a:b])
                     others, many = np.unique(others, return_counts=True)
                     n.append(b - a)
                     total.append(float(p[a:b].sum(dtype=np.float64)) + share)

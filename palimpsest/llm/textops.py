@@ -123,13 +123,25 @@ def _runs(w: np.ndarray, k: int) -> np.ndarray:
 
 def document_words(column: pa.Array) -> Iterator[np.ndarray]:
     """Word hashes of each text in turn."""
+    for h, _ in document_words_and_endings(column, False):
+        yield h
+
+
+_FOLD = np.arange(256, dtype=np.uint16)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+
+
+def document_words_and_endings(column: pa.Array, endings: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of each text in turn, and the last two bytes of each word, A-Z folded (the one before the last is 0 if there is none)."""
     raw, offsets = text_buffers(column)
     for i, j in chunks(offsets):
         own, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         s, e, first = words(own, off)
-        h = span_hashes(own, s, e)
+        h, end = span_hashes(own, s, e), np.zeros(0, np.uint16)
+        if endings and len(e):
+            end = _FOLD[own[e - 1]] | np.where(e - s > 1, _FOLD[own[np.maximum(e - 2, 0)]] << np.uint16(8), np.uint16(0))
         for d in range(j - i):
-            yield h[first[d] : first[d + 1]]
+            yield h[first[d] : first[d + 1]], end[first[d] : first[d + 1]]
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

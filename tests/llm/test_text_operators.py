@@ -531,12 +531,10 @@ def test_pseudo_likelihood(spark):
 
 def test_words_have_their_own_share(spark, monkeypatch):
     """With the production defaults: two words of one class, each alone in a document, differ by the log of their counts."""
-    names = [f"w{i}" for i in range(400)]
-    bucket = {n: int(next(iter(textops.document_words(pa.array([n]))))[0] >> np.uint64(40)) % pseudo_likelihood.RARE for n in names}
-    of = [n for n in names if bucket[n] == bucket[names[0]]]
-    often, seldom = of[:2]
-    rows = [(i, " ".join([f"top{j}" for j in range(pseudo_likelihood.CLASSES - pseudo_likelihood.RARE - 1)] * 3)) for i in range(20)]
-    rows += [(100 + i, " ".join(n for n in names if n not in of)) for i in range(2)]
+    names = [f"w{i}xx" for i in range(400)]
+    often, seldom = names[:2]
+    rows = [(i, " ".join([f"top{j}" for j in range(pseudo_likelihood.CLASSES - pseudo_likelihood.RARE - 1)] * 30)) for i in range(20)]
+    rows += [(100 + i, " ".join(names[2:])) for i in range(2)]
     rows += [(200, often), (201, seldom), (202, " ".join([often] * 39)), (202, seldom)]
     results = []
     for known in (pseudo_likelihood.KNOWN, 100):
@@ -548,6 +546,39 @@ def test_words_have_their_own_share(spark, monkeypatch):
     assert np.allclose(results[0], results[1], rtol=1e-3)
 
 
+def test_scores_against_a_plain_version_and_a_unigram(spark, monkeypatch):
+    """With the production defaults, scores worked out token by token; they beat the words' frequencies. Repeated rows score alike."""
+    rng = random.Random(19)
+    stems = ["".join(rng.choices("bdfgklmnprst", k=3)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(stems) + rng.choice(["ung", "heit", "lich"] if i % 2 else ["tion", "ness", "able"]) for _ in range(120))) for i in range(150)]
+    rows += [(500, rows[0][1]), (501, rows[0][1]), (502, "Zung" * 30_000), (503, " ".join(rows[3][1].split() * 300))]
+    kept = []
+    fit = pseudo_likelihood.fit
+    monkeypatch.setattr(pseudo_likelihood, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    found = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(table(spark, rows)).collect()}
+    vocab, net = kept[0]
+    counts = Counter(w for _, t in rows for w in split(t))
+    emb, a, ab, b, bb = (x.astype(np.float64) for x in net.parts)
+    top = {int(h): i + 1 for i, h in enumerate(vocab.words)}
+    word_hash = {w: int(next(iter(textops.document_words(pa.array([w.decode()]))))[0]) for w in counts}
+    cls = {w: top.get(word_hash[w]) or int(pseudo_likelihood.rare_classes(np.array([w[-1] + 256 * (w[-2] if len(w) > 1 else 0)]))[0]) for w in counts}
+    held = Counter()
+    for w, n in counts.items():
+        held[cls[w]] += n
+    for i, text in [rows[0], rows[7], rows[152], (500, rows[0][1])]:
+        words, total = split(text), 0.0
+        line = [0, 0, *(cls[w] for w in words), 0, 0]
+        for at, w in enumerate(words):
+            v = np.concatenate([emb[line[at + 2 + s]] for s in (-2, -1, 1, 2)])
+            z = np.maximum(v @ a + ab, 0) @ b + bb
+            total += z[cls[w]] - np.log(np.exp(z - z.max()).sum()) - z.max() + np.log(counts[w] / held[cls[w]])
+        assert abs(found[i].log_likelihood - total) < 1e-3 * abs(total), i
+    assert found[500].log_likelihood == found[501].log_likelihood == found[0].log_likelihood and found[503].n_tokens == 36_000
+    n = sum(counts.values())
+    unigram = sum(c * np.log(c / n) for c in counts.values()) / n
+    assert sum(r.log_likelihood for r in found.values()) / n > unigram + 0.3
+
+
 def test_every_token_is_a_target():
     line, spans = np.r_[0, 0, np.arange(1, 101), 0, 0], [(2, 3), (3, 5), (5, 12), (12, 12), (12, 102)]
     seen = [pseudo_likelihood.masked(line, spans, turn, pseudo_likelihood.MASK_ONE_IN) for turn in range(pseudo_likelihood.ROUNDS)]
