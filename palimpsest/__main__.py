@@ -1,45 +1,25 @@
-"""``python -m palimpsest scenario FILE`` | ``demo`` | ``sql FOLDER STATEMENT`` (views: log, pages, segments)."""
+"""``python -m palimpsest FOLDER STATEMENT``: SQL over the views log, pages and segments of a log folder."""
 
 from __future__ import annotations
 
 import argparse
-import tempfile
 
 from pyspark.sql import SparkSession
 
-from .operators.session import Node, PageLog
-from .plans import scenario
+from .operators.session import PageLog
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="palimpsest")
-    modes = parser.add_subparsers(dest="mode")
-    modes.add_parser("demo")
-    modes.add_parser("scenario").add_argument("file")
-    sql = modes.add_parser("sql")
-    sql.add_argument("folder")
-    sql.add_argument("statement")
+    parser.add_argument("folder")
+    parser.add_argument("statement")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("palimpsest").getOrCreate()
-    if args.mode == "scenario":
-        with open(args.file) as f:
-            _, results, totals = scenario.run(scenario.load(spark, f.read()))
-        results.orderBy("step").show(100, truncate=False)
-        totals.show(truncate=False)
-    elif args.mode == "sql":
-        log = PageLog.open(spark, args.folder)
-        log.frame().createOrReplaceTempView("log")
-        log.snapshot(log.durability()[1]).createOrReplaceTempView("pages")
-        log.segments().createOrReplaceTempView("segments")
-        spark.sql(args.statement).show(100, truncate=False)
-    else:
-        log = PageLog.open(spark, tempfile.mkdtemp(prefix="palimpsest-"))
-        a, b = Node(log, "A"), Node(log, "B")
-        a.put(1, 0, b"first version")
-        b.refresh()
-        a.put_multi([(1, 0, b"second"), (2, 0, b"with it")])
-        print("A reads", a.get(1)[:13], "; B, not refreshed, reads", b.get(1)[:13])
-        print("LSN", b.refresh(), "after refresh; B reads", b.get(1)[:13], "; as of LSN 1:", b.get_at(1, 1)[:13])
+    log = PageLog.open(spark, args.folder)
+    log.frame().createOrReplaceTempView("log")
+    log.snapshot(log.durability()[1]).createOrReplaceTempView("pages")
+    log.segments().createOrReplaceTempView("segments")
+    spark.sql(args.statement).show(100, truncate=False)
 
 
 if __name__ == "__main__":

@@ -20,19 +20,11 @@ def from_little_endian(raw: Column) -> Column:
     return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long")
 
 
-def byte_length(data: Column) -> Column:
-    return F.octet_length(data)
-
-
 def entry_bytes(data: Column) -> Column:
     """Bytes of an entry on disk: header and payload."""
     return (F.lit(HEADER_BYTES) + F.octet_length(data)).cast("long")
 
 
-def is_end(flags: Column) -> Column:
-    return flags.bitwiseAND(F.lit(1)) != 0
-
-
 def overflows(offset: Column, data: Column) -> Column:
     """Whether a write does not fit its page; one that ends at the page's end fits."""
     return offset + F.octet_length(data) > PAGE_SIZE

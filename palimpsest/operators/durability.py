@@ -23,9 +23,10 @@ def vcl(log: DataFrame) -> DataFrame:
 
 
 def durability(log: DataFrame) -> DataFrame:
-    """(vcl, vdl): complete, and complete up to the end of a group."""
-    ends = log.where("is_mtr_end").select(F.col("lsn").alias("end"))
-    return vcl(log).join(ends, F.col("end") <= F.col("vcl"), "left").groupBy("vcl").agg(F.coalesce(F.max("end"), F.lit(0)).cast("long").alias("vdl"))
+    """(vcl, vdl): complete, and complete up to the end of a group. The VCL is a scalar subquery, a filter of the scan."""
+    complete = vcl(log).scalar()
+    ends = log.where("is_mtr_end").where(F.col("lsn") <= complete)
+    return ends.agg(F.coalesce(F.max("lsn"), F.lit(0)).cast("long").alias("vdl")).select(complete.alias("vcl"), "vdl")
 
 
 def live_state(log: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_bytes, overflows
-from .order import with_position
+from ..schema import Corruption
+from ..sources.shared import written
+from .order import with_position, with_running, with_running_sum
 
 
 def assign_lsns(writes: DataFrame, next_lsn: int = 1, order: list[str] | None = None) -> DataFrame:
@@ -20,8 +22,12 @@ def link_previous(log: DataFrame, compat: bool = False) -> DataFrame:
     ``compat`` takes the page's latest LSN as of the start of the batch, so that of several records of a page
     in a batch only the last one can be reached.
     """
-    frame = "partition by page_id order by batch_id range between unbounded preceding and 1 preceding" if compat else "partition by page_id order by lsn rows between 1 preceding and 1 preceding"
-    return log.withColumn("prev_lsn", F.expr(f"coalesce(max(lsn) over ({frame}), 0)"))
+    log = log.drop("prev_lsn")
+    if not compat:
+        return with_running(log, ["lsn"], {"prev_lsn": ("max", "lsn")}, ["page_id"], before=True).withColumn("prev_lsn", F.coalesce("prev_lsn", F.lit(0)))
+    batches = log.groupBy("page_id", "batch_id").agg(F.max("lsn").alias("_top"))
+    heads = with_running(batches, ["batch_id"], {"prev_lsn": ("max", "_top")}, ["page_id"], before=True).drop("_top")
+    return log.join(heads, ["page_id", "batch_id"]).withColumn("prev_lsn", F.coalesce("prev_lsn", F.lit(0)))
 
 
 def mark_ends(writes: DataFrame) -> DataFrame:
@@ -32,8 +38,6 @@ def mark_ends(writes: DataFrame) -> DataFrame:
 
 def mtr_groups(log: DataFrame) -> DataFrame:
     """group_no: one more than the end flags before the record; groups by prefix, as recovery sees them."""
-    from .order import with_running_sum
-
     ended = with_running_sum(log.withColumn("_end", F.col("is_mtr_end").cast("long")), ["lsn"], "_end", "_ends")
     return ended.withColumn("group_no", F.col("_ends") - F.col("_end") + 1).drop("_end", "_ends")
 
@@ -70,19 +74,22 @@ def chain(log: DataFrame, page_id: int, lsn: int) -> DataFrame:
     return log.where((F.col("page_id") == page_id) & (F.col("lsn") <= lsn))
 
 
-def chain_walk(log: DataFrame, page_id: int, lsn: int, depth: int = 10_000) -> DataFrame:
-    """The same by following prev_lsn from the head: for checking chains, not for reading them."""
-    spark = log.sparkSession
-    log.where(F.col("page_id") == page_id).createOrReplaceTempView("_chain_log")
-    head = log.where(F.col("page_id") == page_id).agg(F.max("lsn").alias("lsn"))
-    head.createOrReplaceTempView("_chain_head")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(lsn, prev_lsn) MAX RECURSION LEVEL {int(depth)} AS (
-              SELECT l.lsn, l.prev_lsn FROM _chain_log l JOIN _chain_head h ON l.lsn = h.lsn
-              UNION ALL
-              SELECT l.lsn, l.prev_lsn FROM walk w JOIN _chain_log l ON l.lsn = w.prev_lsn)
-            SELECT lsn, prev_lsn FROM walk WHERE lsn <= {int(lsn)}"""
-    )
+def chain_walk(log: DataFrame) -> DataFrame:
+    """(lsn, page_id, depth, first_lsn) of every record: how many records its links lead through, itself included, and to which they come at last.
+
+    All chains are followed at once, by doubling: each round joins every pointer that has not arrived with the one it
+    points to, so a chain of n links takes log n joins on the LSN, which no two records share.  A link to a record
+    that is not there, or is of another page, is an error (``Corruption``).
+    """
+    bad = broken_links(log).first()
+    if bad:
+        raise Corruption(f"record {bad['lsn']} of page {bad['page_id']} follows record {bad['prev_lsn']}, which is not there")
+    walk = written(log.select("lsn", "page_id", F.col("prev_lsn").alias("to"), F.lit(1).cast("long").alias("depth"), F.col("lsn").alias("first_lsn")), "walk")
+    while not (open_ := walk.where("to <> 0")).isEmpty():
+        step = walk.select(F.col("lsn").alias("_at"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("first_lsn").alias("_first"))
+        moved = open_.join(step, F.col("to") == F.col("_at")).select("lsn", "page_id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_first").alias("first_lsn"))
+        walk = written(moved.union(walk.where("to = 0")), "walk")
+    return walk.select("lsn", "page_id", "depth", "first_lsn")
 
 
 def chain_lengths(log: DataFrame) -> DataFrame:

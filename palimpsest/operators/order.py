@@ -1,30 +1,82 @@
-"""Positions and running sums over a global order without a one-task window."""
+"""Positions, running aggregates and earlier rows over an order, without one task for a key or for all rows.
+
+Rows are dealt by ranges of the order.  Each range works on its own, in a window of one key and range, and what the
+ranges before amount to (a row for each key and range) is added.  A key that holds most rows is spread over all ranges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows in a range, about, where the session has too few shuffle partitions for the table.
+RANGE_ROWS = 2_000_000
+
+
+def _quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
+    at = [i / parts for i in range(1, parts)]
+    return df.select(F.col(column).cast("double").alias("o")).where("o is not null").stat.approxQuantile("o", at, 0.1 / parts) if at else []
 
-def with_running_sum(df: DataFrame, order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
-    """``name``: the sum of ``value`` up to and with this row in the order of ``order``.
 
-    Rows are dealt by ranges of the order, each range sums its own, and the few sums of
-    the ranges before are added: only one row a range goes through a single task.
+def range_of(df: DataFrame, order: list[str], parts: int | None = None) -> Column:
+    """The range of each row, from 0, by its first order column, and by the second where one value of the first has more than a range.
+
+    A range is named by bounds drawn once, so that all reads agree even if a task runs again.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A range is named by bounds drawn once, so that both reads below agree even if a task runs again.
-    quantiles = df.select(F.col(order[0]).cast("double").alias("o")).stat.approxQuantile("o", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(order[0]).cast("double"))))
-    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_range", F.expr("coalesce(sum(_sum) over (order by _range rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
-    own = F.expr(f"sum({value}) over (partition by _range order by {', '.join(order)} rows between unbounded preceding and current row)")
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
-
-
-def with_position(df: DataFrame, order: list[str], name: str, start: int = 1, parts: int | None = None) -> DataFrame:
-    """``name``: consecutive numbers from ``start`` in the order of ``order``."""
-    out = with_running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name, parts)
-    return out.withColumn(name, F.col(name) + (start - 1)).drop("_one")
+    rows = df.count()
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    drawn = Counter(_quantiles(df, order[0], min(parts, max(1, rows))))
+    bounds: list[tuple[float, float]] = []
+    for value, times in sorted(drawn.items()):
+        bounds.append((value, float("inf")))
+        if times > 1 and len(order) > 1:
+            own = df.where(F.col(order[0]).cast("double") == value)
+            bounds += [(value, b) for b in sorted(set(_quantiles(own, order[1], times)))]
+    if not bounds:
+        return F.lit(0)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    steps = F.array(*[pair(F.lit(a), F.lit(b)) for a, b in sorted(bounds)])
+    second = F.coalesce(F.col(order[1]).cast("double"), F.lit(float("-inf"))) if len(order) > 1 else F.lit(0.0)
+    own = pair(F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf"))), second)
+    return F.size(F.filter(steps, lambda b: b < own))
+
+
+def with_running(df: DataFrame, order: list[str], made: dict[str, tuple[str, str]], keys: list[str] | None = None, parts: int | None = None, before: bool = False) -> DataFrame:
+    """Columns over the rows up to and with this one (``before``: without it) of its key, in order.
+
+    ``made`` maps a name to (kind, expression); the kind is ``sum``, ``max``, or ``last`` for the last value that is not null.
+    Ties of the order must agree, except in sums, whose order among them is open.
+    """
+    keys = keys or []
+    by = ", ".join(f"`{k}`" for k in [*keys, "_range"])
+    frame = f"over (partition by {by} order by {', '.join(order)} rows between unbounded preceding and {'1 preceding' if before else 'current row'})"
+    call = {"sum": "sum({x})", "max": "max({x})", "last": "last({x}, true)"}
+    ranged = df.withColumn("_range", range_of(df, order, parts))
+    place = F.struct(*order)
+    total = {
+        name: F.max_by(F.expr(x), F.when(F.expr(x).isNotNull(), place)) if kind == "last" else F.expr(call[kind].format(x=x)) for name, (kind, x) in made.items()
+    }
+    sums = ranged.groupBy(*keys, "_range").agg(*[c.alias(f"_{n}") for n, c in total.items()])
+    # A row for each key and range: windows of no more rows than there are ranges.
+    above = f"over ({'partition by ' + ', '.join(f'`{k}`' for k in keys) if keys else ''} order by _range rows between unbounded preceding and 1 preceding)"
+    sums = sums.select(*keys, "_range", *[F.expr(f"{call[kind].format(x=f'_{n}')} {above}").alias(f"_{n}") for n, (kind, _) in made.items()])
+    out = ranged.select("*", *[F.expr(f"{call[kind].format(x=x)} {frame}").alias(f"_own_{n}") for n, (kind, x) in made.items()])
+    same = F.col("l._range") == F.col("r._range")
+    for k in keys:
+        same &= F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    joined = out.alias("l").join(sums.alias("r"), same)
+    joined_by = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "last": lambda a, b: F.coalesce(b, a)}
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns if c not in made], *[joined_by[kind](F.col(f"r._{n}"), F.col(f"l._own_{n}")).alias(n) for n, (kind, _) in made.items()])
+
+
+def with_running_sum(df: DataFrame, order: list[str], value: str, name: str, parts: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``name``: the sum of ``value`` up to and with this row."""
+    return with_running(df, order, {name: ("sum", value)}, keys, parts)
+
+
+def with_position(df: DataFrame, order: list[str], name: str, start: int = 1, parts: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``name``: consecutive numbers from ``start``, for each key."""
+    out = with_running(df, order, {name: ("sum", "1L")}, keys, parts)
+    return out.withColumn(name, F.col(name) + (start - 1))

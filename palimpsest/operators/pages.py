@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import overflows, zero_page
 from ..schema import PAGE_SIZE
+from ..sources.shared import written
+from .order import with_position, with_running
 
 LINE = 64
 
@@ -28,30 +30,39 @@ def winning_bytes(log: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, "lsn", (F.col("offset") + F.col("i")).alias("place"), "byte").groupBy(*keys, "place").agg(F.max_by("byte", "lsn").alias("byte"))
 
 
-def assembled(winners: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, page) from winning bytes, through lines of 64 bytes, so that no group is large."""
+def assembled(winners: DataFrame, keys: list[str], base: DataFrame | None = None) -> DataFrame:
+    """(keys, page) from winning bytes, through lines of 64 bytes, so that no group is large.
+
+    ``base`` (keys, page): the images on which the bytes are laid, zeroes where there is none; only pages with winners come out.
+    """
     blank = "0" * (2 * LINE)
-    lines = winners.groupBy(*keys, F.floor(F.col("place") / LINE).alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % LINE).alias("k"), "byte"))).alias("m"))
-    lines = lines.select(*keys, "line", F.expr(f"array_join(transform(sequence(0, {LINE - 1}), i -> coalesce(m[i], '00')), '')").alias("text"))
-    pages = lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("int").alias("k"), "text"))).alias("m"))
-    return pages.select(*keys, F.unhex(F.expr(f"array_join(transform(sequence(0, {PAGE_SIZE // LINE - 1}), i -> coalesce(m[i], '{blank}')), '')")).alias("page"))
+    lines = winners.groupBy(*keys, F.floor(F.col("place") / LINE).alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % LINE).cast("int").alias("k"), "byte"))).alias("m"))
+    pages = lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("int").alias("k"), "m"))).alias("m"))
+    if base is None:
+        old = f"'{blank}'"
+    else:
+        pages = pages.join(base.select(*keys, F.hex("page").alias("_base")), keys, "left")
+        old = f"coalesce(substring(_base, i * {2 * LINE} + 1, {2 * LINE}), '{blank}')"
+    line = f"array_join(transform(sequence(0, {LINE - 1}), j -> coalesce(m[i][j], substring({old}, 2 * j + 1, 2))), '')"
+    return pages.select(*keys, F.unhex(F.expr(f"array_join(transform(sequence(0, {PAGE_SIZE // LINE - 1}), i -> if(m[i] is null, {old}, {line})), '')")).alias("page"))
 
 
 def snapshot(log: DataFrame, read_point: int, base: DataFrame | None = None, base_lsn: int = 0) -> DataFrame:
     """(page_id, read_point, page, chain_len, last_lsn) of every page with a record up to ``read_point``.
 
-    ``base`` has (page_id, page, chain_len, last_lsn) as of ``base_lsn`` <= read_point; then only later records are read.
+    ``base`` has (page_id, page, chain_len, last_lsn) as of ``base_lsn`` <= read_point; then only later records are read,
+    and laid on the images of their pages. Images without later records stay as they are.
     """
     seen = checked(log.where((F.col("lsn") <= read_point) & (F.col("lsn") > base_lsn)).select("page_id", "lsn", "offset", "data"))
     chains = seen.groupBy("page_id").agg(F.count("*").alias("chain_len"), F.max("lsn").alias("last_lsn"))
-    winners = winning_bytes(seen, ["page_id"])
+    pages = assembled(winning_bytes(seen, ["page_id"]), ["page_id"], base)
+    new = chains.join(pages, "page_id", "left")
+    page = F.coalesce("page", zero_page())
     if base is not None:
-        old = base.select("page_id", F.lit(0).cast("long").alias("lsn"), F.lit(0).alias("offset"), F.col("page").alias("data"))
-        winners = winning_bytes(old.unionByName(seen), ["page_id"])
-        was = base.select("page_id", F.col("chain_len").alias("c0"), F.col("last_lsn").alias("l0"))
-        chains = chains.join(was, "page_id", "full_outer").select("page_id", (F.coalesce("chain_len", F.lit(0)) + F.coalesce("c0", F.lit(0))).alias("chain_len"), F.coalesce("last_lsn", "l0").alias("last_lsn"))
-    pages = assembled(winners, ["page_id"])
-    return chains.join(pages, "page_id", "left").select("page_id", F.lit(read_point).cast("long").alias("read_point"), F.coalesce("page", zero_page()).alias("page"), "chain_len", "last_lsn")
+        was = base.select("page_id", F.col("page").alias("_page"), F.col("chain_len").alias("_len"), F.col("last_lsn").alias("_lsn"))
+        new = new.join(was, "page_id", "full_outer").withColumns({"chain_len": F.coalesce("chain_len", F.lit(0)) + F.coalesce("_len", F.lit(0)), "last_lsn": F.coalesce("last_lsn", "_lsn")})
+        page = F.coalesce("page", "_page", zero_page())
+    return new.select("page_id", F.lit(read_point).cast("long").alias("read_point"), page.alias("page"), "chain_len", "last_lsn")
 
 
 def fold_snapshot(log: DataFrame, read_point: int) -> DataFrame:
@@ -63,7 +74,8 @@ def fold_snapshot(log: DataFrame, read_point: int) -> DataFrame:
 
 def version_history(log: DataFrame) -> DataFrame:
     """(page_id, version, lsn, valid_until): the LSN interval in which each version of a page is the latest."""
-    return log.select("page_id", F.expr("row_number() over (partition by page_id order by lsn)").alias("version"), "lsn", F.expr("lead(lsn) over (partition by page_id order by lsn)").alias("valid_until"))
+    rows = with_position(log.select("page_id", "lsn"), ["lsn"], "version", keys=["page_id"]).withColumn("_back", -F.col("lsn"))
+    return with_running(rows, ["_back"], {"valid_until": ("last", "lsn")}, ["page_id"], before=True).select("page_id", "version", "lsn", "valid_until")
 
 
 def page_diff(log: DataFrame, before: int, after: int) -> DataFrame:
@@ -74,19 +86,42 @@ def page_diff(log: DataFrame, before: int, after: int) -> DataFrame:
     return both.where("old_byte <> new_byte")
 
 
+def _asked(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Records and requests of a page in one order: (page_id, at, is_request, req_id, read_point, lsn), a request after the records it sees."""
+    records = log.select("page_id", F.col("lsn").alias("at"), F.lit(0).alias("is_request"), F.lit(None).cast(requests.schema["req_id"].dataType).alias("req_id"), F.lit(None).cast("long").alias("read_point"), "lsn")
+    asked = requests.select("page_id", F.col("read_point").alias("at"), F.lit(1).alias("is_request"), "req_id", F.col("read_point").cast("long").alias("read_point"), F.lit(None).cast("long").alias("lsn"))
+    return records.union(asked)
+
+
 def read_status(requests: DataFrame, log: DataFrame, vdl: int) -> DataFrame:
-    """(req_id, page_id, read_point, last_lsn, chain_len, status) of versioned reads: ok, not_found or beyond_durable."""
-    first = log.select("page_id", "lsn")
-    joined = requests.join(first, (requests["page_id"] == first["page_id"]) & (first["lsn"] <= requests["read_point"]) & (requests["read_point"] <= vdl), "left")
-    found = joined.groupBy("req_id", requests["page_id"], "read_point").agg(F.max("lsn").alias("last_lsn"), F.count("lsn").alias("chain_len"))
-    status = F.when(F.col("read_point") > vdl, "beyond_durable").when(F.col("chain_len") == 0, "not_found").otherwise("ok")
-    return found.withColumn("status", status)
+    """(req_id, page_id, read_point, last_lsn, chain_len, status) of versioned reads: ok, not_found or beyond_durable.
+
+    Requests meet no records: both stand in one order, and the records before a request are a running count and maximum.
+    """
+    both = with_running(_asked(requests, log), ["at", "is_request"], {"last_lsn": ("max", "lsn"), "chain_len": ("sum", "1L - is_request")}, ["page_id"])
+    beyond = F.col("read_point") > vdl
+    found = both.where("is_request = 1").select(
+        "req_id", "page_id", "read_point", F.when(~beyond, F.col("last_lsn")).alias("last_lsn"), F.when(beyond, F.lit(0)).otherwise(F.col("chain_len")).cast("long").alias("chain_len")
+    )
+    return found.withColumn("status", F.when(beyond, "beyond_durable").when(F.col("chain_len") == 0, "not_found").otherwise("ok"))
 
 
 def asof_reads(requests: DataFrame, log: DataFrame, vdl: int) -> DataFrame:
-    """(req_id, page_id, read_point, page) of the requests that succeed: one image for each distinct page and read point."""
-    asked = requests.where(F.col("read_point") <= vdl).select("page_id", "read_point").distinct()
-    seen = log.join(asked, "page_id").where("lsn <= read_point").select("page_id", "read_point", "lsn", "offset", "data")
-    pages = assembled(winning_bytes(seen, ["page_id", "read_point"]), ["page_id", "read_point"])
-    empty = seen.select("page_id", "read_point").distinct().join(pages, ["page_id", "read_point"], "left").withColumn("page", F.coalesce("page", zero_page()))
-    return requests.join(empty, ["page_id", "read_point"]).select("req_id", "page_id", "read_point", "page")
+    """(req_id, page_id, read_point, page) of the requests that succeed: one image for each distinct page and read point.
+
+    A record belongs to the first read point of its page that sees it; the winners of each such interval are few.  A
+    byte at a read point is the last winner of its place up to there, a running value: no request meets a record.
+    """
+    points = written(requests.where(F.col("read_point") <= vdl).select("page_id", "read_point").distinct(), "points")
+    order = _asked(points.withColumn("req_id", F.lit(0)), checked(log).select("page_id", "lsn", "offset", "data"))
+    order = order.withColumns({"_at": -F.col("at"), "_kind": -F.col("is_request")})  # back from the end, requests first
+    seen = with_running(order, ["_at", "_kind"], {"seen_at": ("last", "read_point")}, ["page_id"]).where("is_request = 0 and seen_at is not null").select("page_id", "lsn", F.col("seen_at").alias("read_point"))
+    deltas = written(winning_bytes(seen.join(checked(log).select("page_id", "lsn", "offset", "data"), ["page_id", "lsn"]), ["page_id", "read_point"]), "deltas")
+    # Every place of a page at every read point: as many rows as the images have bytes that are written.
+    grid = deltas.select("page_id", "place").distinct().join(points, "page_id").select("page_id", "place", "read_point")
+    filled = with_running(grid.join(deltas, ["page_id", "place", "read_point"], "left"), ["read_point"], {"byte": ("last", "byte")}, ["page_id", "place"]).where("byte is not null")
+    pages = assembled(filled, ["page_id", "read_point"])
+    # A page may hold records without bytes only: it is there, and blank.
+    first = log.groupBy("page_id").agg(F.min("lsn").alias("_first"))
+    there = points.join(first, "page_id").where("_first <= read_point").join(pages, ["page_id", "read_point"], "left").select("page_id", "read_point", F.coalesce("page", zero_page()).alias("page"))
+    return requests.join(there, ["page_id", "read_point"]).select("req_id", "page_id", "read_point", "page")

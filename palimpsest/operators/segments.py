@@ -10,19 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_bytes, segment_filename
+from .order import with_running
 
 
-def _ends(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a segment that starts at each record of a chunk: where the next one starts, and from there on
-    the rotations to the end of the chunk and the bytes in its last segment."""
+RANGE_RECORDS = 1_000_000
+
+
+def _next_starts(total: np.ndarray, most: int) -> np.ndarray:
+    """For a segment that starts at each record of a range: where the next one starts (the number of records if not in the range)."""
+    n = len(total) - 1
+    return np.r_[np.maximum(np.searchsorted(total, total[:-1] + most, side="right") - 1, np.arange(n) + 1), n]
+
+
+def _ends(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a segment that starts at each record of a range: the rotations to the end of the range and the bytes in its last segment."""
     total = np.r_[0, np.cumsum(sizes)]
     n = len(sizes)
-    after = np.maximum(np.searchsorted(total, total[:-1] + most, side="right") - 1, np.arange(n) + 1)
-    turns, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = after[i]
-        turns[i], left[i] = (turns[j] + 1, left[j]) if j < n else (0, total[n] - total[i])
-    return after, turns, left
+    to = _next_starts(total, most)
+    turns, last = (to < n).astype(np.int64), np.where(to < n, to, np.arange(n + 1))
+    while (open_ := to < n).any():  # jumps twice as long each time
+        turns += np.where(open_, turns[to], 0)
+        last = np.where(open_, last[to], last)
+        to = to[to]
+    return turns, total[n] - total[last]
 
 
 def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts: int | None = None) -> DataFrame:
@@ -34,17 +44,17 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
     the driver chains a few numbers a range, and each range then assigns its records.
     """
     spark = log.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = log.agg(F.min("lsn"), F.max("lsn")).first()
+    span = log.agg(F.min("lsn"), F.max("lsn"), F.count("*")).first()
     if span[0] is None:
         return log.withColumn("segment_id", F.lit(first_id).cast("long")).withColumn("file_offset", F.lit(0).cast("long"))
+    parts = parts or max(1, -(-span[2] // RANGE_RECORDS))
     width = max(1, -(-(span[1] - span[0] + 1) // parts))
     sized = log.select("lsn", entry_bytes(F.col("data")).alias("size"), F.floor((F.col("lsn") - span[0]) / width).alias("range"))
 
     def outline(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows.sort_values("lsn")["size"].to_numpy(np.int64)
         total = np.r_[0, np.cumsum(sizes)]
-        _, turns, left = _ends(sizes, segment_bytes)
+        turns, left = _ends(sizes, segment_bytes)
         # With b bytes open, the first new segment starts at the first record i with b + total[i + 1] > most.
         first = np.arange(min(len(sizes), int(np.searchsorted(total, segment_bytes, side="right"))))
         return pd.DataFrame({"range": key[0], "fits": segment_bytes - total[first + 1], "turns": turns[first] + 1, "left": left[first], "bytes": total[-1]})
@@ -71,15 +81,16 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
 
     def assign(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("lsn")
-        segment, size = int(rows["segment"].iloc[0]), int(rows["open_bytes"].iloc[0])
-        segments, offsets = [], []
-        for s in rows["size"].tolist():
-            if size and size + s > segment_bytes:
-                segment, size = segment + 1, 0
-            segments.append(segment)
-            offsets.append(size)
-            size += s
-        return pd.DataFrame({"lsn": rows["lsn"], "segment_id": segments, "file_offset": offsets})
+        sizes = rows["size"].to_numpy(np.int64)
+        total = np.r_[0, np.cumsum(sizes)]
+        held = int(rows["open_bytes"].iloc[0])
+        to = _next_starts(total, segment_bytes)
+        starts = [int(np.searchsorted(total[1:], segment_bytes - held, side="right")) if held else int(to[0])]
+        while starts[-1] < len(sizes):  # a step a segment
+            starts.append(int(to[starts[-1]]))
+        turn = np.searchsorted(np.array(starts), np.arange(len(sizes)), side="right")
+        begin = np.r_[0, starts][turn]
+        return pd.DataFrame({"lsn": rows["lsn"], "segment_id": int(rows["segment"].iloc[0]) + turn, "file_offset": total[:-1] - total[begin] + np.where(turn == 0, held, 0)})
 
     placed = sized.join(begun, "range").groupBy("range").applyInPandas(assign, "lsn long, segment_id long, file_offset long")
     return log.join(placed, "lsn")
@@ -94,16 +105,18 @@ def segment_table(placed: DataFrame) -> DataFrame:
 
 def cool(segments: DataFrame, keep_hot: int) -> DataFrame:
     """The segments with all sealed hot ones but the newest ``keep_hot`` made cold."""
-    rank = "row_number() over (partition by sealed and tier = 'Hot' order by id desc)"
-    moved = F.expr(f"sealed and tier = 'Hot' and {rank} > {int(keep_hot)}")
-    return segments.withColumn("_moved", moved).withColumn("tier", F.when(F.col("_moved"), "Cold").otherwise(F.col("tier"))).drop("_moved")
+    sealed_hot = F.expr("sealed and tier = 'Hot'")
+    if keep_hot > 0:
+        oldest_kept = segments.where(sealed_hot).select("id").orderBy(F.desc("id")).limit(int(keep_hot)).agg(F.min("id"))
+        sealed_hot &= F.coalesce(F.col("id") < oldest_kept.scalar(), F.lit(False))
+    return segments.withColumn("tier", F.when(sealed_hot, "Cold").otherwise(F.col("tier")))
 
 
 def cold_read_cost(placed: DataFrame, segments: DataFrame, read_point: int, latency_ms: int = 50) -> DataFrame:
     """(page_id, charges, cold_ms) of reading each page newest to oldest: a charge for each switch into a cold segment."""
-    rows = placed.where(F.col("lsn") <= read_point).join(F.broadcast(segments.select(F.col("id").alias("segment_id"), "tier")), "segment_id")
-    came = F.expr("lag(segment_id) over (partition by page_id order by lsn desc)")
-    rows = rows.withColumn("_from", came).withColumn("_charge", ((F.col("tier") == "Cold") & ~F.col("_from").eqNullSafe(F.col("segment_id"))).cast("long"))
+    rows = placed.where(F.col("lsn") <= read_point).select("page_id", "segment_id", (-F.col("lsn")).alias("_back"))
+    rows = with_running(rows, ["_back"], {"_from": ("last", "segment_id")}, ["page_id"], before=True)
+    rows = rows.join(segments.select(F.col("id").alias("segment_id"), "tier"), "segment_id").withColumn("_charge", ((F.col("tier") == "Cold") & ~F.col("_from").eqNullSafe(F.col("segment_id"))).cast("long"))
     return rows.groupBy("page_id").agg(F.sum("_charge").alias("charges")).withColumn("cold_ms", F.col("charges") * latency_ms)
 
 

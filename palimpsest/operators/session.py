@@ -1,7 +1,7 @@
-"""A log on disk and reader sessions on it.
+"""A log on disk: bulk appends, recovery at open, snapshots.
 
-A batch is one Parquet append; it becomes part of the log when the manifest that names its files is replaced, so a
-failed job leaves no trace and consumes no LSN.
+An append is one Parquet write; it becomes part of the log when the manifest that names its files is replaced, so a
+failed job leaves no trace and consumes no LSN.  One writer at a time: the manifest is replaced, not merged.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_bytes
-from ..schema import PAGE_SIZE, SEGMENT_BYTES, LsnBeyondDurable, PageNotFound, PageOverflow
+from ..schema import SEGMENT_BYTES, LsnBeyondDurable, PageNotFound, PageOverflow
 from .durability import recover
 from .log import assign_lsns, link_previous, mark_ends, page_index, reachable, rejected_writes
 from .pages import snapshot
@@ -24,32 +24,13 @@ from .segments import assign_segments, cool, segment_table
 COLUMNS = "lsn bigint, page_id bigint, offset int, data binary, prev_lsn bigint, mtr_id bigint, is_mtr_end boolean, batch_id bigint, node string"
 
 
-class MiniTransaction:
-    """Writes that become visible together; only the last one carries the end flag."""
-
-    def __init__(self, mtr_id: int):
-        self.mtr_id, self.writes = mtr_id, []
-
-    def write(self, page_id: int, offset: int, data: bytes) -> None:
-        self.writes.append((page_id, offset, bytes(data)))
-
-    def __len__(self) -> int:
-        return len(self.writes)
-
-    def finish(self) -> list[dict] | None:
-        if not self.writes:
-            return None
-        last = len(self.writes) - 1
-        return [{"page_id": p, "offset": o, "data": d, "mtr_id": self.mtr_id, "is_mtr_end": i == last} for i, (p, o, d) in enumerate(self.writes)]
-
-
 class PageLog:
     """``PageLog.open(spark, folder)`` recovers the log in the folder, or makes one."""
 
     def __init__(self, spark: SparkSession, folder: str, segment_bytes: int | None = None, compat: bool = False):
         self.spark, self.folder, self.segment_bytes, self.compat = spark, folder, segment_bytes, compat
         self.lock = threading.Lock()
-        self.state = {"files": [], "next_lsn": 1, "next_batch": 1, "vcl": 0, "vdl": 0, "tiers": {}}
+        self.state = {"files": [], "next_lsn": 1, "next_batch": 1, "vcl": 0, "vdl": 0, "first_hot": 1}
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, preset: str = "base", segment_bytes: int = SEGMENT_BYTES, compat: bool = False) -> PageLog:
@@ -93,28 +74,6 @@ class PageLog:
     def durability(self) -> tuple[int, int]:
         return self.state["vcl"], self.state["vdl"]
 
-    def append(self, records: list[dict], node: str = "A") -> int:
-        """One batch: numbered, linked, written, committed. Returns the VDL."""
-        with self.lock:
-            if not records:
-                return self.state["vdl"]
-            for r in records:
-                if r["offset"] + len(r["data"]) > PAGE_SIZE:
-                    raise PageOverflow(r["page_id"], r["offset"], len(r["data"]))
-            lsn, batch = self.state["next_lsn"], self.state["next_batch"]
-            pages = sorted({r["page_id"] for r in records})
-            latest = {r["page_id"]: r["m"] for r in self.frame().where(F.col("page_id").isin(pages)).groupBy("page_id").agg(F.max("lsn").alias("m")).collect()}
-            heads, rows = dict(latest), []
-            for i, r in enumerate(records):
-                rows.append((lsn + i, r["page_id"], r["offset"], bytearray(r["data"]), (latest if self.compat else heads).get(r["page_id"], 0), r["mtr_id"], r["is_mtr_end"], batch, node))
-                heads[r["page_id"]] = lsn + i
-            path = self._write(self.spark.createDataFrame(rows, COLUMNS))
-            ends = [x[0] for x in rows if x[6]]
-            self.state["files"].append(path)
-            self.state |= {"next_lsn": lsn + len(rows), "next_batch": batch + 1, "vcl": rows[-1][0], "vdl": max([self.state["vdl"], *ends])}
-            self._commit()
-            return self.state["vdl"]
-
     def append_frame(self, writes: DataFrame) -> int:
         """Batches of writes (batch_id, pos, node, page_id, offset, data) as one append; each batch is a group.
 
@@ -165,59 +124,17 @@ class PageLog:
         return bytes(row["page"])
 
     def segments(self) -> DataFrame:
-        """The segments of a tiered log, with the tiers that cooling has set."""
+        """The segments of a tiered log; those before the manifest's first hot one are cold."""
         table = segment_table(assign_segments(self.frame(), self.segment_bytes or 1 << 62))
-        cold = [int(k) for k, v in self.state["tiers"].items() if v == "Cold"]
-        return table.withColumn("tier", F.when(F.col("id").isin(cold), "Cold").otherwise(F.col("tier"))) if cold else table
+        return table.withColumn("tier", F.when(F.col("id") < self.state["first_hot"], "Cold").otherwise(F.col("tier")))
 
-    def cool(self, keep_hot: int) -> list[int]:
-        """Make old sealed segments cold; returns their ids."""
-        before = self.segments()
-        moved = [r["id"] for r in cool(before, keep_hot).alias("n").join(before.alias("o"), "id").where("n.tier <> o.tier").select("id").orderBy("id").collect()]
-        self.state["tiers"] |= {str(i): "Cold" for i in moved}
-        self._commit()
-        return moved
+    def cool(self, keep_hot: int) -> int:
+        """Make all sealed segments but the newest ``keep_hot`` cold; returns the first segment that is hot."""
+        with self.lock:
+            hot = cool(self.segments(), keep_hot).where("tier = 'Hot'").agg(F.min("id")).first()[0]
+            self.state["first_hot"] = hot or self.state["first_hot"]
+            self._commit()
+            return self.state["first_hot"]
 
     def log_bytes(self) -> int:
         return self.frame().agg(F.sum(entry_bytes(F.col("data")))).first()[0] or 0
-
-
-class Node:
-    """A session with its own read point: it sees its own writes, and others' after ``refresh``."""
-
-    def __init__(self, log: PageLog, name: str = "A"):
-        self.log, self.name, self.read_point, self.next_mtr = log, name, 0, 1
-        self.lock = threading.Lock()
-
-    def _mtr(self) -> MiniTransaction:
-        with self.lock:
-            mtr, self.next_mtr = MiniTransaction(self.next_mtr), self.next_mtr + 1
-        return mtr
-
-    def put(self, page_id: int, offset: int, data: bytes) -> int:
-        return self.put_multi([(page_id, offset, data)])
-
-    def put_multi(self, writes: list[tuple[int, int, bytes]]) -> int:
-        for page_id, offset, data in writes:
-            if offset + len(data) > PAGE_SIZE:
-                raise PageOverflow(page_id, offset, len(data))
-        mtr = self._mtr()
-        for w in writes:
-            mtr.write(*w)
-        records = mtr.finish()
-        if records is None:
-            return self.read_point
-        vdl = self.log.append(records, self.name)
-        with self.lock:
-            self.read_point = max(self.read_point, vdl)
-        return vdl
-
-    def get(self, page_id: int) -> bytes:
-        return self.get_at(page_id, self.read_point)
-
-    def get_at(self, page_id: int, lsn: int) -> bytes:
-        return self.log.get_page(page_id, lsn)
-
-    def refresh(self) -> int:
-        self.read_point = self.log.durability()[1]
-        return self.read_point

@@ -65,5 +65,21 @@ def node_state(events: DataFrame) -> DataFrame:
     return points.join(held, "node", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
 
 
+def shared_state(events: DataFrame) -> DataFrame:
+    """(vcl, vdl, log_bytes, pages): the log's state that the events of all nodes add up to."""
+    of = lambda k: F.col("kind") == k
+    value = lambda f: F.col("fields")[f].cast("bigint")
+    last = lambda k: F.coalesce(F.max_by(F.when(of(k), value("new")), F.when(of(k), F.col("seq"))), F.lit(0))
+    sums = events.agg(last("AdvanceVcl").alias("vcl"), last("AdvanceVdl").alias("vdl"), F.coalesce(F.sum(F.when(of("WalAppend"), value("bytes"))), F.lit(0)).alias("log_bytes"))
+    pages = events.where(of("UpdatePageIndex")).select(value("page_id").alias("page_id")).distinct().agg(F.count("page_id").alias("pages"))
+    return sums.select("vcl", "vdl", "log_bytes", pages.scalar().alias("pages"))
+
+
+def indexed_pages(events: DataFrame) -> DataFrame:
+    """(page_id, latest_lsn) of the index that the events leave, in the order of pages."""
+    own = events.where("kind = 'UpdatePageIndex'").select(F.col("fields")["page_id"].cast("bigint").alias("page_id"), F.col("fields")["lsn"].cast("bigint").alias("lsn"), "seq")
+    return own.groupBy("page_id").agg(F.max_by("lsn", "seq").alias("latest_lsn")).orderBy("page_id")
+
+
 def tail(events: DataFrame, n: int = 15) -> DataFrame:
     return events.orderBy(F.desc("seq")).limit(n)

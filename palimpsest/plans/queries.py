@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import caches, durability, log, pages, segments, trace
+from ..operators import durability, log, pages, reads, segments, trace
+from ..operators.order import with_position
 from ..sources.derived import events_log, events_stream, lineitem_writes, linked_events_log
 from ..sources.wal import decode_segments, encode_segments
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-PREFIX = 136  # bytes of a page that the derived log can write
+WRITTEN = 136  # bytes of a page that the derived log can write; the oracle knows that the rest is zeroes
 SEGMENT = 4096
 
 REDO = """WITH redo AS (
@@ -24,7 +25,8 @@ REDO = """WITH redo AS (
 IMAGES = """, b AS (SELECT r.*, unnest(range(n)) AS i FROM {log} r),
 w AS (SELECT {keys}, "offset" + i AS place, arg_max(substr(hex(encode(data)), CAST(2 * i + 1 AS BIGINT), 2), lsn) AS byte FROM b GROUP BY ALL),
 k AS (SELECT DISTINCT {keys} FROM {log}), z AS (SELECT k.*, unnest(range(136)) AS place FROM k),
-img AS (SELECT {keys}, string_agg(coalesce(byte, '00'), '' ORDER BY place) AS page_prefix FROM z LEFT JOIN w USING ({keys}, place) GROUP BY {keys})"""
+hexed AS (SELECT {keys}, string_agg(coalesce(byte, '00'), '' ORDER BY place) AS page_prefix FROM z LEFT JOIN w USING ({keys}, place) GROUP BY {keys}),
+img AS (SELECT {keys}, page_prefix, sha256(unhex(page_prefix || repeat('00', 8056))) AS page_sha256 FROM hexed)"""
 
 
 def query(sql: str | None = None) -> Callable:
@@ -46,16 +48,17 @@ MID = "(SELECT (max(event_id) + 1) // 2 FROM events)"
 
 
 def _prefix(df: DataFrame) -> DataFrame:
-    return df.withColumn("page_prefix", F.hex(F.substring("page", 1, PREFIX))).drop("page")
+    """The page's written bytes in hex, and the hash of all its 8192 bytes."""
+    return df.withColumns({"page_prefix": F.hex(F.substring("page", 1, WRITTEN)), "page_sha256": F.sha2("page", 256)}).drop("page")
 
 
 # Filters and projections
 
 
-@query(f"{REDO} SELECT lsn, page_id, \"offset\", hex(encode(data)) AS data_hex FROM redo WHERE page_id < 10 AND lsn <= {MID}")
+@query(f"{REDO} SELECT lsn, page_id, \"offset\", hex(encode(data)) AS data_hex FROM redo WHERE lsn > {MID} // 2 AND lsn <= {MID}")
 def log_scan_filter(spark, d):
-    e = events_log(spark, d).where((F.col("page_id") < 10) & (F.col("lsn") <= _middle(spark, d)))
-    return e.select("lsn", "page_id", "offset", F.hex("data").alias("data_hex"))
+    mid = _middle(spark, d)
+    return events_log(spark, d).where((F.col("lsn") > mid // 2) & (F.col("lsn") <= mid)).select("lsn", "page_id", "offset", F.hex("data").alias("data_hex"))
 
 
 @query(f"{REDO} SELECT lsn, 41 + n AS bytes FROM redo")
@@ -122,7 +125,7 @@ def mtr_groups(spark, d):
 
 @query(f"{REDO} SELECT node, lsn, row_number() OVER (PARTITION BY node ORDER BY lsn) AS mtr_id FROM redo WHERE is_mtr_end")
 def mtr_numbering(spark, d):
-    return events_log(spark, d).where("is_mtr_end").select("node", "lsn", F.expr("row_number() over (partition by node order by lsn)").cast("long").alias("mtr_id"))
+    return with_position(events_log(spark, d).where("is_mtr_end").select("node", "lsn"), ["lsn"], "mtr_id", keys=["node"])
 
 
 @query(f"{REDO} SELECT page_id, max(lsn) AS latest_lsn FROM redo GROUP BY 1")
@@ -140,20 +143,23 @@ def chain_lengths(spark, d):
     return log.chain_lengths(events_log(spark, d))
 
 
-@query(f"{REDO} SELECT page_id, string_agg(lsn::VARCHAR, ',' ORDER BY lsn) AS lsns FROM redo WHERE lsn <= {MID} GROUP BY 1")
+@query(f"{REDO} SELECT page_id, lsn, row_number() OVER (PARTITION BY page_id ORDER BY lsn) AS place FROM redo WHERE lsn <= {MID}")
 def chain_lsns(spark, d):
-    e = events_log(spark, d).where(F.col("lsn") <= _middle(spark, d))
-    return e.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("lsn")), ",").alias("lsns"))
+    """Every page's chain from its oldest record on, a row a record."""
+    e = events_log(spark, d).where(F.col("lsn") <= _middle(spark, d)).select("page_id", "lsn")
+    return with_position(e, ["lsn"], "place", keys=["page_id"])
 
 
-@query(f"{REDO}, c AS (SELECT lsn, coalesce(lag(lsn) OVER (PARTITION BY page_id ORDER BY lsn), 0) AS prev_lsn FROM redo WHERE page_id = 7) SELECT lsn, prev_lsn FROM c WHERE lsn <= {MID}")
+@query(f"{REDO} SELECT lsn, page_id, row_number() OVER (PARTITION BY page_id ORDER BY lsn) AS depth, min(lsn) OVER (PARTITION BY page_id) AS first_lsn FROM redo")
 def chain_recursive(spark, d):
-    return log.chain_walk(linked_events_log(spark, d), 7, _middle(spark, d))
+    """All chains by their links alone."""
+    return log.chain_walk(linked_events_log(spark, d))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS lsn WHERE false")
+@query(f"{REDO}, c AS (SELECT lsn, node, coalesce(lag(lsn) OVER (PARTITION BY page_id ORDER BY lsn), 0) AS prev_lsn FROM redo) SELECT c.lsn, c.prev_lsn FROM c JOIN redo p ON p.lsn = c.prev_lsn WHERE c.node = 'A' AND p.node = 'B'")
 def chain_integrity(spark, d):
-    return log.broken_links(linked_events_log(spark, d)).select("lsn")
+    """The links that break when one node's records are lost."""
+    return log.broken_links(linked_events_log(spark, d).where("node = 'A'")).select("lsn", "prev_lsn")
 
 
 # Durability and recovery
@@ -208,14 +214,14 @@ def recovered_index(spark, d):
 # Pages
 
 
-@query(f"{REDO}, l AS (SELECT * FROM redo WHERE lsn <= {MID}){IMAGES.format(log='l', keys='page_id')} SELECT page_id, {MID} AS read_point, page_prefix, count(*) AS chain_len, max(lsn) AS last_lsn FROM img JOIN l USING (page_id) GROUP BY ALL")
+@query(f"{REDO}, l AS (SELECT * FROM redo WHERE lsn <= {MID}){IMAGES.format(log='l', keys='page_id')} SELECT page_id, {MID} AS read_point, page_prefix, page_sha256, count(*) AS chain_len, max(lsn) AS last_lsn FROM img JOIN l USING (page_id) GROUP BY ALL")
 def page_snapshot_at(spark, d):
     return _prefix(pages.snapshot(events_log(spark, d), _middle(spark, d)))
 
 
-@query(f"{REDO}{IMAGES.format(log='redo', keys='page_id')} SELECT page_id, page_prefix FROM img")
+@query(f"{REDO}{IMAGES.format(log='redo', keys='page_id')} SELECT page_id, page_prefix, page_sha256 FROM img")
 def page_snapshot_latest(spark, d):
-    return _prefix(pages.snapshot(events_log(spark, d), 1 << 62)).select("page_id", "page_prefix")
+    return _prefix(pages.snapshot(events_log(spark, d), 1 << 62)).select("page_id", "page_prefix", "page_sha256")
 
 
 @query(ORACLE_SQL["page_snapshot_latest"])
@@ -227,7 +233,7 @@ def page_snapshot_fold(spark, d):
 def page_snapshot_from_base(spark, d):
     """Pages as a base image at the middle of the log and the records after it."""
     e, mid = events_log(spark, d), _middle(spark, d)
-    return _prefix(pages.snapshot(e, 1 << 62, pages.snapshot(e, mid), mid)).select("page_id", "page_prefix")
+    return _prefix(pages.snapshot(e, 1 << 62, pages.snapshot(e, mid), mid)).select("page_id", "page_prefix", "page_sha256")
 
 
 @query(f"{REDO} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY lsn) AS version, lsn, lead(lsn) OVER (PARTITION BY page_id ORDER BY lsn) AS valid_until FROM redo")
@@ -243,11 +249,12 @@ def page_diff_between(spark, d):
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 50 = 0")
+    """Every event asks for a page, as of an LSN of which half are beyond the log."""
+    e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.col("event_id").alias("req_id"), ((F.col("user_id") * 7) % 2000).alias("page_id"), (F.col("event_id") * 2).alias("read_point"))
 
 
-REQUESTS = f"{REDO}, q AS (SELECT event_id AS req_id, (user_id * 7) % 2000 AS page_id, event_id * 2 AS read_point FROM events WHERE event_id % 50 = 0), v AS (SELECT max(lsn) AS vdl FROM redo WHERE is_mtr_end)"
+REQUESTS = f"{REDO}, q AS (SELECT event_id AS req_id, (user_id * 7) % 2000 AS page_id, event_id * 2 AS read_point FROM events), v AS (SELECT max(lsn) AS vdl FROM redo WHERE is_mtr_end)"
 
 
 @query(f"""{REQUESTS} SELECT req_id, q.page_id, read_point, max(lsn) AS last_lsn, count(lsn) AS chain_len, CASE WHEN read_point > vdl THEN 'beyond_durable' WHEN count(lsn) = 0 THEN 'not_found' ELSE 'ok' END AS status
@@ -258,7 +265,7 @@ def read_status(spark, d):
 
 
 @query(f"""{REQUESTS}, l AS (SELECT q.req_id, q.page_id AS page_id, read_point, lsn, "offset", data, n FROM q JOIN redo r ON r.page_id = q.page_id AND r.lsn <= read_point CROSS JOIN v WHERE read_point <= vdl)
-{IMAGES.format(log='l', keys='req_id, page_id, read_point')} SELECT req_id, page_id, read_point, page_prefix FROM img""")
+{IMAGES.format(log='l', keys='req_id, page_id, read_point')} SELECT req_id, page_id, read_point, page_prefix, page_sha256 FROM img""")
 def asof_reads(spark, d):
     e = events_log(spark, d)
     return _prefix(pages.asof_reads(_requests(spark, d), e, durability.live_state(e).first()["vdl"]))
@@ -288,6 +295,11 @@ def segment_summary(spark, d):
     return segments.segment_table(_placed(spark, d))
 
 
+@query(f"{SEGMENTED} SELECT id, filename FROM m")
+def segment_filenames(spark, d):
+    return segments.segment_table(_placed(spark, d)).select("id", "filename")
+
+
 @query(f"{SEGMENTED} SELECT id, filename, tier FROM c")
 def cooling_plan(spark, d):
     return segments.cool(segments.segment_table(_placed(spark, d)), 3).select("id", "filename", "tier")
@@ -303,10 +315,11 @@ def cold_read_cost(spark, d):
 # Text of pages, codec
 
 
-@query("SELECT page_id, left(html, 20) AS page_text FROM pages WHERE octet_length(encode(left(html, 20))) = 20")
+@query("SELECT page_id, CASE WHEN html = '' THEN '(empty page)' ELSE html END AS page_text FROM pages WHERE octet_length(encode(html)) <= 8192")
 def page_text(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").where("octet_length(left(html, 20)) = 20")
-    page = F.overlay(C.zero_page(), F.substring("html", 1, 20).cast("binary"), 1, 20)
+    """The text of pages on which the whole html stands; longer ones do not fit."""
+    p = spark.read.parquet(f"{d}/pages.parquet").where(~C.overflows(F.lit(0), F.col("html").cast("binary")))
+    page = F.overlay(C.zero_page(), F.col("html").cast("binary"), F.lit(1), F.octet_length("html"))
     return p.select("page_id", C.page_text(page).alias("page_text"))
 
 
@@ -315,15 +328,15 @@ def data_preview(spark, d):
     return events_log(spark, d).select("lsn", C.data_preview(F.col("data"), 5).alias("preview"))
 
 
-@query()
+@query(f"{REDO} SELECT lsn, true AS crc_ok, true AS lsn_ok FROM redo")
 def crc_check(spark, d):
-    """Entries with their CRC, and whether the header's numbers survive the byte order."""
-    e = linked_events_log(spark, d)
+    """Entries whose CRC by built-in functions is the one that the decoder, by zlib, has found to fit; and whether numbers survive the byte order."""
     cols = [F.col(c) for c in ("lsn", "page_id", "offset", "data", "prev_lsn", "mtr_id", "is_mtr_end")]
-    return e.select("lsn", C.entry_crc(*cols).alias("crc32"), (C.from_little_endian(C.little_endian(F.col("lsn"), 8)) == F.col("lsn")).alias("lsn_ok"))
+    read = decode_segments(encode_segments(segments.assign_segments(linked_events_log(spark, d), SEGMENT)))
+    return read.select("lsn", (C.entry_crc(*cols) == F.col("crc32")).alias("crc_ok"), (C.from_little_endian(C.little_endian(F.col("lsn"), 8)) == F.col("lsn")).alias("lsn_ok"))
 
 
-# Sessions, caches, traces
+# Sessions, traces
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
@@ -339,43 +352,36 @@ STEPS = "WITH st AS (SELECT event_id AS step, CASE WHEN user_id % 2 = 0 THEN 'A'
 
 @query(f"{STEPS} SELECT step, node, read_point, vdl - read_point AS behind FROM rp WHERE op = 'get'")
 def staleness(spark, d):
-    return caches.staleness(_steps(spark, d))
+    return reads.staleness(_steps(spark, d))
 
 
 @query(f"{STEPS}, v AS (SELECT page_id, vdl AS lsn FROM st WHERE op = 'put') SELECT step, rp.node, max(lsn) AS sees, count(lsn) AS versions FROM rp LEFT JOIN v ON v.page_id = rp.page_id AND lsn <= read_point WHERE op = 'get' GROUP BY 1, 2")
 def read_isolation(spark, d):
     """The version that each get sees: the latest at its node's read point."""
     steps = _steps(spark, d)
-    gets = caches.staleness(steps).join(steps.select("step", "page_id"), "step")
-    puts = steps.where("op = 'put'").select(F.col("page_id").alias("p"), F.col("vdl").alias("lsn"))
-    return gets.join(puts, (F.col("page_id") == F.col("p")) & (F.col("lsn") <= F.col("read_point")), "left").groupBy("step", "node").agg(F.max("lsn").alias("sees"), F.count("lsn").alias("versions"))
+    gets = reads.staleness(steps).join(steps.select("step", "page_id"), "step").select(F.col("step").alias("req_id"), "node", "page_id", "read_point")
+    puts = steps.where("op = 'put'").select("page_id", F.col("vdl").alias("lsn"))
+    seen = pages.read_status(gets, puts, 1 << 62).select("req_id", F.col("last_lsn").alias("sees"), F.col("chain_len").alias("versions"))
+    return gets.select("req_id", "node").join(seen, "req_id").select(F.col("req_id").alias("step"), "node", "sees", "versions")
 
 
 @query(f"{STEPS} SELECT step, page_id, read_point, row_number() OVER (PARTITION BY page_id, read_point ORDER BY step) > 1 AS hit FROM rp WHERE op = 'get'")
 def page_cache_sim(spark, d):
     steps = _steps(spark, d)
-    return caches.page_cache_hits(caches.staleness(steps).join(steps.select("step", "page_id"), "step").select("step", "page_id", "read_point"))
-
-
-@query()
-def buffer_pool_sim(spark, d):
-    steps = _steps(spark, d)
-    gets = caches.staleness(steps).join(steps.select("step", "page_id", "op"), "step").select("node", "step", "op", "page_id", "read_point")
-    puts = steps.where("op = 'put'").select("node", "step", "op", "page_id", F.col("vdl").alias("read_point"))
-    return caches.buffer_pool_hits(gets.union(puts), 16)
+    return reads.repeated_reads(reads.staleness(steps).join(steps.select("step", "page_id"), "step").select("step", "page_id", "read_point"))
 
 
 def _trace(spark: SparkSession, d: str) -> DataFrame:
     """Events as trace lines, parsed: an NDJSON line for each event, of one kind after another."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("WalAppend", "BufferPoolLookup", "PageCacheLookup", "WalSync", "AdvanceVdl", "MaterializeComplete", "UpdateReadPoint", "BufferPoolInsert")]), (F.col("event_id") % 8 + 1).cast("int"))
-    body = F.to_json(F.struct((F.col("event_id") % 3 == 0).alias("hit"), (F.col("user_id") + 41).alias("bytes"), F.col("event_id").alias("new"), (F.col("user_id") % 20).alias("page_id"), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("node")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in trace.EVENT_KINDS]), (F.col("event_id") % len(trace.EVENT_KINDS) + 1).cast("int"))
+    body = F.to_json(F.struct((F.col("event_id") % 3 == 0).alias("hit"), (F.col("user_id") + 41).alias("bytes"), F.col("event_id").alias("new"), F.col("event_id").alias("mtr_id"), F.col("event_id").alias("lsn"), (F.col("user_id") % 20).alias("page_id"), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("node")))
     event = F.when(kind == "WalSync", F.lit('"WalSync"')).otherwise(F.concat(F.lit('{"'), kind, F.lit('":'), body, F.lit("}")))
     line = F.concat(F.lit('{"seq":'), F.col("event_id").cast("string"), F.lit(',"timestamp_us":'), (F.col("event_id") * 10).cast("string"), F.lit(',"event":'), event, F.lit("}"))
     return trace.parse_trace(e.select(line.alias("value")))
 
 
-TRACE = "WITH t AS (SELECT event_id AS seq, ['WalAppend', 'BufferPoolLookup', 'PageCacheLookup', 'WalSync', 'AdvanceVdl', 'MaterializeComplete', 'UpdateReadPoint', 'BufferPoolInsert'][CAST(event_id % 8 + 1 AS BIGINT)] AS kind, event_id % 3 = 0 AS hit, user_id + 41 AS bytes, event_id AS new, user_id % 20 AS page_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS node FROM events)"
+TRACE = f"WITH t AS (SELECT event_id AS seq, string_split('{' '.join(trace.EVENT_KINDS)}', ' ')[CAST(event_id % {len(trace.EVENT_KINDS)} + 1 AS BIGINT)] AS kind, event_id % 3 = 0 AS hit, user_id + 41 AS bytes, event_id AS new, user_id % 20 AS page_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS node FROM events)"
 
 
 @query(f"{TRACE} SELECT kind, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM t GROUP BY 1")
@@ -386,18 +392,33 @@ def events_by_kind(spark, d):
 @query(f"""{TRACE}, s AS (SELECT count(*) FILTER (WHERE kind = 'WalAppend') AS writes, coalesce(sum(bytes) FILTER (WHERE kind = 'WalAppend'), 0)::BIGINT AS bytes_written,
   count(*) FILTER (WHERE kind = 'BufferPoolLookup' AND NOT hit) AS reads, count(*) FILTER (WHERE kind = 'BufferPoolLookup' AND hit) AS buffer_hits, count(*) FILTER (WHERE kind = 'BufferPoolLookup' AND NOT hit) AS buffer_misses,
   count(*) FILTER (WHERE kind = 'PageCacheLookup' AND hit) AS cache_hits, count(*) FILTER (WHERE kind = 'PageCacheLookup' AND NOT hit) AS cache_misses, count(*) FILTER (WHERE kind = 'MaterializeComplete') AS materializations,
-  CAST(0 AS BIGINT) AS vcl, coalesce(max(new) FILTER (WHERE kind = 'AdvanceVdl'), 0) AS vdl FROM t)
+  coalesce(max(new) FILTER (WHERE kind = 'AdvanceVcl'), 0) AS vcl, coalesce(max(new) FILTER (WHERE kind = 'AdvanceVdl'), 0) AS vdl FROM t)
 SELECT *, CASE WHEN cache_hits + cache_misses = 0 THEN 0 ELSE 100 * cache_hits // (cache_hits + cache_misses) END AS cache_hit_percent, bytes_written // 1024 AS kb_written FROM s""")
 def metrics_summary(spark, d):
     return trace.metrics(_trace(spark, d))
 
 
-@query(f"""{TRACE}, p AS (SELECT node, max(new) FILTER (WHERE kind = 'UpdateReadPoint') AS read_point FROM t WHERE kind <> 'WalSync' GROUP BY 1), h AS (SELECT node, count(DISTINCT page_id) AS pages FROM t WHERE kind = 'BufferPoolInsert' GROUP BY 1)
-SELECT node, coalesce(read_point, 0) AS read_point, CAST(1 AS BIGINT) AS next_mtr, coalesce(pages, 0) AS pages FROM p LEFT JOIN h USING (node)""")
+@query(f"""{TRACE}, p AS (SELECT node, max(new) FILTER (WHERE kind = 'UpdateReadPoint') AS read_point, max(new) FILTER (WHERE kind = 'MtrCreated') AS mtr FROM t WHERE kind <> 'WalSync' GROUP BY 1), k AS (SELECT node, page_id, arg_max(kind, seq) AS kind FROM t WHERE kind IN ('BufferPoolInsert', 'BufferPoolInvalidate') GROUP BY 1, 2), h AS (SELECT node, count(*) AS pages FROM k WHERE kind = 'BufferPoolInsert' GROUP BY 1)
+SELECT node, coalesce(read_point, 0) AS read_point, coalesce(mtr, 0) + 1 AS next_mtr, coalesce(pages, 0) AS pages FROM p LEFT JOIN h USING (node)""")
 def node_state(spark, d):
     return trace.node_state(_trace(spark, d))
 
 
+@query(f"{TRACE} SELECT coalesce(max(new) FILTER (WHERE kind = 'AdvanceVcl'), 0) AS vcl, coalesce(max(new) FILTER (WHERE kind = 'AdvanceVdl'), 0) AS vdl, coalesce(sum(bytes) FILTER (WHERE kind = 'WalAppend'), 0)::BIGINT AS log_bytes, count(DISTINCT page_id) FILTER (WHERE kind = 'UpdatePageIndex') AS pages FROM t")
+def shared_state(spark, d):
+    return trace.shared_state(_trace(spark, d))
+
+
+@query(f"{TRACE} SELECT page_id, arg_max(new, seq) AS latest_lsn FROM t WHERE kind = 'UpdatePageIndex' GROUP BY 1")
+def indexed_pages(spark, d):
+    return trace.indexed_pages(_trace(spark, d))
+
+
+@query(f"{TRACE} SELECT 100 * count(*) FILTER (WHERE hit) // count(*) AS cache_hit_percent FROM t WHERE kind = 'PageCacheLookup'")
+def cache_hit_ratio(spark, d):
+    return trace.metrics(_trace(spark, d)).select("cache_hit_percent")
+
+
 @query("SELECT event_id AS seq FROM events ORDER BY event_id DESC LIMIT 15")
 def trace_tail(spark, d):
     return trace.tail(_trace(spark, d)).select("seq")
@@ -428,6 +449,6 @@ def stream_durability(spark, d):
     return incremental.drained(incremental.live_state_stream(events_stream(spark, d)).withColumn("k", F.lit(0)), ["k"])
 
 
-@query(f"{REDO}{IMAGES.format(log='redo', keys='page_id')} SELECT page_id, page_prefix, max(lsn) AS last_lsn, count(*) AS chain_len FROM img JOIN redo USING (page_id) GROUP BY ALL")
+@query(f"{REDO}{IMAGES.format(log='redo', keys='page_id')} SELECT page_id, page_prefix, page_sha256, max(lsn) AS last_lsn, count(*) AS chain_len FROM img JOIN redo USING (page_id) GROUP BY ALL")
 def stream_pages(spark, d):
     return _prefix(incremental.drained(incremental.pages_stream(events_stream(spark, d)), ["page_id"]))

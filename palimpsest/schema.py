@@ -5,12 +5,6 @@ from __future__ import annotations
 PAGE_SIZE = 8192
 HEADER_BYTES = 41
 SEGMENT_BYTES = 4096
-PAGE_CACHE_ENTRIES = 1024
-BUFFER_POOL_PAGES = 256
-
-REDO_LOG = "lsn bigint, page_id bigint, offset int, data binary, prev_lsn bigint, mtr_id bigint, is_mtr_end boolean"
-WRITES = "batch_id bigint, pos int, node string, page_id bigint, offset int, data binary"
-SEGMENTS = "id bigint, filename string, tier string, first_lsn bigint, last_lsn bigint, size_bytes bigint, sealed boolean"
 
 
 class LogError(Exception):

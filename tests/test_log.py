@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.operators import durability as D
 from palimpsest.operators import log as L
 from palimpsest.operators import pages as P
-from palimpsest.operators.order import with_position, with_running_sum
+from palimpsest.operators.order import range_of, with_position, with_running, with_running_sum
+from palimpsest.schema import Corruption
 
 COLUMNS = "lsn bigint, page_id bigint, offset int, data binary, is_mtr_end boolean, batch_id bigint"
 
@@ -64,6 +65,28 @@ def test_running_sums_with_ties(spark):
     assert with_position(df.limit(0), ["a"], "n").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_running_values_of_keys(spark, parts):
+    """A hot key, one large batch, nulls: sums, maxima and last values against a plain loop."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), 7 if i < 120 else i // 9, i, rng.randrange(100), rng.choice([None, i])) for i in range(300)]
+    df = spark.createDataFrame(rng.sample(rows, 300), "k string, a long, b long, v long, w long")
+    made = {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "w")}
+    for before in (False, True):
+        want, seen = {}, {}
+        for k, a, b, v, w in sorted(rows, key=lambda r: r[1:3]):
+            own = seen.setdefault(k, [0, None, None])
+            if before:
+                want[b] = tuple(own)
+            own[:] = own[0] + v, v if own[1] is None else max(own[1], v), own[2] if w is None else w
+            if not before:
+                want[b] = tuple(own)
+        found = with_running(df, ["a", "b"], made, ["k"], parts, before).collect()
+        assert {r.b: (r.s, r.m, r.l) for r in found} == want
+    spread = df.groupBy(range_of(df, ["a", "b"], 8).alias("r")).count().collect()
+    assert max(r["count"] for r in spread) < 100
+
+
 def test_links_and_lost_writes(spark):
     log = make(spark, [(1, 1, 0, "aa", 0, 1), (2, 1, 4, "bb", 1, 1), (3, 2, 0, "cc", 1, 2), (4, 1, 0, "dd", 1, 3)])
     assert {r.lsn: r.prev_lsn for r in L.link_previous(log).collect()} == {1: 0, 2: 1, 3: 0, 4: 2}
@@ -71,9 +94,12 @@ def test_links_and_lost_writes(spark):
     assert {r.lsn: r.prev_lsn for r in compat.collect()} == {1: 0, 2: 0, 3: 0, 4: 2}
     assert [r.lsn for r in L.lost_writes(log).collect()] == [1]
     assert sorted(r.lsn for r in L.reachable(log).collect()) == [2, 3, 4]
-    assert sorted(r.lsn for r in L.chain_walk(compat, 1, 4).collect()) == [2, 4]
+    assert {r.lsn: (r.depth, r.first_lsn) for r in L.chain_walk(compat).collect()} == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (2, 2)}
     strict = L.link_previous(log)
-    assert sorted(r.lsn for r in L.chain_walk(strict, 1, 2).collect()) == sorted(r.lsn for r in L.chain(strict, 1, 2).collect()) == [1, 2]
+    assert {r.lsn: (r.depth, r.first_lsn) for r in L.chain_walk(strict).collect()} == {1: (1, 1), 2: (2, 1), 3: (1, 3), 4: (3, 1)}
+    assert sorted(r.lsn for r in L.chain(strict, 1, 2).collect()) == [1, 2]
+    with pytest.raises(Corruption):
+        L.chain_walk(strict.where("lsn <> 1"))
     assert L.broken_links(strict.where("lsn <> 1")).first()["lsn"] == 2
 
 
@@ -113,6 +139,9 @@ def test_reads(spark):
     asked = spark.createDataFrame([(i, 1, rp) for i, rp in enumerate([1, 2, 3, 0, 100])] + [(9, 5, 3)], "req_id long, page_id long, read_point long")
     assert {r.req_id: r.status for r in P.read_status(asked, log, 3).collect()} == {0: "ok", 1: "ok", 2: "ok", 3: "not_found", 4: "beyond_durable", 9: "not_found"}
     assert {r.req_id: r.page[0] for r in P.asof_reads(asked, log, 3).collect()} == {0: 1, 1: 2, 2: 3}
+    blank = make(spark, [(1, 4, 0, "", 1, 1), (2, 4, 8190, "0a0b", 1, 2), (3, 5, 0, "01", 1, 3)])
+    asked = spark.createDataFrame([(1, 4, 1), (2, 4, 2), (3, 4, 3), (4, 5, 2)], "req_id long, page_id long, read_point long")
+    assert {r.req_id: bytes(r.page)[-2:].hex() for r in P.asof_reads(asked, blank, 3).collect()} == {1: "0000", 2: "0a0b", 3: "0a0b"}
     assert [(r.version, r.lsn, r.valid_until) for r in P.version_history(log).orderBy("lsn").collect()] == [(1, 1, 2), (2, 2, 3), (3, 3, None)]
 
 
@@ -127,3 +156,5 @@ def test_random_logs_against_a_replay(spark):
                 own = want.setdefault(page, bytearray(8192))
                 own[off : off + len(data) // 2] = bytes.fromhex(data)
         assert {r.page_id: bytes(r.page) for r in P.snapshot(log, rp).collect()} == {k: bytes(v) for k, v in want.items()}
+        asked = spark.createDataFrame([(p, p, rp) for p in range(5)], "req_id long, page_id long, read_point long")
+        assert {r.page_id: bytes(r.page) for r in P.asof_reads(asked, log, 120).collect()} == {k: bytes(v) for k, v in want.items()}

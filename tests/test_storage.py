@@ -1,4 +1,4 @@
-"""Segments, the binary log, sessions, caches, traces, scenarios, streams."""
+"""Segments, the binary log, the log folder, reads, traces, streams."""
 
 import os
 import random
@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import columns as C
 from palimpsest.operators import segments as S
-from palimpsest.operators.caches import BufferPool, buffer_pool_hits, page_cache_hits
 from palimpsest.operators.durability import recover, truncation_point
-from palimpsest.operators.session import MiniTransaction, Node, PageLog
-from palimpsest.operators.trace import metrics, node_state, read_trace, write_trace
-from palimpsest.plans import scenario
-from palimpsest.schema import LsnBeyondDurable, PageNotFound, PageOverflow
+from palimpsest.operators.reads import repeated_reads, staleness
+from palimpsest.operators.session import PageLog
+from palimpsest.operators.trace import indexed_pages, metrics, node_state, read_trace, shared_state, write_trace
+from palimpsest.schema import Corruption, LsnBeyondDurable, PageNotFound, PageOverflow
 from palimpsest.sources import wal
 from palimpsest.streaming.incremental import Vcl
 
@@ -77,6 +76,62 @@ def test_torn_log_recovers_and_appends_survive(spark, tmp_path):
     assert recover(wal.read_wal(spark, str(path))).vdl == 3
 
 
+def test_appending_and_overwriting_a_binary_log(spark, tmp_path):
+    spark.dataSource.register(wal.WalSource)
+    path = str(tmp_path / "log")
+    part = lambda lsns, segment: spark.createDataFrame([(i, i % 3, 0, bytearray([i]), 0, 1, True, segment) for i in lsns], "lsn long, page_id long, offset int, data binary, prev_lsn long, mtr_id long, is_mtr_end boolean, segment_id long")
+    lsns = lambda: sorted((r.lsn, r.segment_id) for r in wal.read_wal(spark, path).collect())
+    wal.write_wal(part([1, 2, 3], 1), path)
+    wal.write_wal(part([4, 5], 1).union(part([6], 2)), path)
+    assert lsns() == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2)]
+    with open(f"{path}/wal_000002.seg", "ab") as f:
+        f.write(b"\xff" * 20)  # torn: goes with the next append
+    wal.write_wal(part([7], 2), path)
+    assert lsns()[-2:] == [(6, 2), (7, 2)]
+    with pytest.raises(Exception, match="cannot follow"):
+        wal.write_wal(part([7], 2), path)
+    assert lsns()[-1] == (7, 2) and not [n for n in os.listdir(path) if "tmp" in n]
+    wal.write_wal(part([1, 2], 3), path, mode="overwrite")
+    assert lsns() == [(1, 3), (2, 3)] and os.listdir(path) == ["wal_000003.seg"]
+    raw = bytearray(open(f"{path}/wal_000003.seg", "rb").read())
+    raw[41] ^= 1
+    open(f"{path}/wal_000003.seg", "wb").write(raw)
+    with pytest.raises(Exception, match="damaged"):
+        wal.write_wal(part([9], 3), path)
+
+
+def test_ends_of_files(spark, tmp_path):
+    raw = b"".join(entries(5))
+    damaged = bytearray(raw)
+    damaged[50 + 41] ^= 1
+    files = {1: raw, 2: raw[:-1], 3: bytes(damaged), 5: raw + b"\0" * 10}
+    for i, content in files.items():
+        (tmp_path / f"wal_{i:06d}.seg").write_bytes(content)
+    found = wal.log_ends(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    assert {r.segment_id: (r.entries, r.offset, r.status) for r in found.collect()} == {1: (5, 225, "end"), 2: (4, 180, "torn"), 3: (2, 90, "damaged"), 5: (5, 225, "torn")}
+    with pytest.raises(Corruption, match="entry at 90"):
+        wal.read_wal(spark, str(tmp_path), strict=True)
+    assert wal.read_wal(spark, str(tmp_path / "wal_000002.seg"), strict=True).count() == 4
+    spark.dataSource.register(wal.WalSource)
+    some = spark.read.format("redo_wal").option("start", 45).option("end", 135).load(str(tmp_path / "wal_000001.seg"))
+    assert [(r.lsn, r.file_offset) for r in some.orderBy("lsn").collect()] == [(2, 45), (3, 90)]
+
+
+def test_segments_by_id(spark, tmp_path):
+    hot, cold = tmp_path / "hot", tmp_path / "cold"
+    for folder, i in ((cold, 1), (hot, 2), (hot, 4)):
+        folder.mkdir(exist_ok=True)
+        (folder / f"wal_{i:06d}.seg").write_bytes(wal.encode_entry(i, 1, 0, b"x", 0, 1, True))
+    manifest = {"segments": [{"id": 1, "tier": "Cold"}, {"id": 2, "tier": "Hot"}, {"id": 3, "tier": "Hot"}], "active_segment_id": 4}
+    folders = [str(hot), str(cold)]
+    assert sorted(r.lsn for r in wal.read_segments(spark, folders).collect()) == [1, 2, 4]
+    assert sorted(r.lsn for r in wal.read_segments(spark, folders, [1, 3, 4]).collect()) == [1, 4]
+    assert [r.segment_id for r in wal.missing_segments(spark, folders, manifest).collect()] == [3]
+    assert [wal.open_segment(spark, *folders, manifest, i).first()["lsn"] for i in (1, 2, 4)] == [1, 2, 4]
+    with pytest.raises(FileNotFoundError):
+        wal.open_segment(spark, *folders, manifest, 9)
+
+
 def test_source_and_sink(spark, tmp_path):
     spark.dataSource.register(wal.WalSource)
     log = sized(spark, [5, 0, 7, 30]).withColumns({"prev_lsn": F.lit(0).cast("long"), "mtr_id": F.lit(9).cast("long")})
@@ -99,52 +154,39 @@ def test_text_of_pages(spark):
     assert [r.p for r in shown] == ["hi\0...", "\0\0\0...", "0x61FF62..."]
 
 
-def test_sessions(spark, tmp_path):
-    log = PageLog.open(spark, str(tmp_path), preset="tiered", segment_bytes=60)
-    a, b = Node(log, "A"), Node(log, "B")
-    assert a.put(1, 0, b"v1") == 1 and a.read_point == 1
-    with pytest.raises(PageNotFound):
-        b.get(1)
-    assert b.refresh() == 1 and b.get(1)[:2] == b"v1"
-    assert a.put_multi([(1, 0, b"v2"), (2, 0, b"w"), (1, 4, b"z")]) == 4
-    assert b.get(1)[:2] == b"v1" and a.get(1)[:5] == b"v2\0\0z" and a.get_at(1, 1)[:2] == b"v1"
-    assert a.put_multi([]) == 4 and a.next_mtr == 4
-    with pytest.raises(PageOverflow):
-        a.put_multi([(5, 0, b"ok"), (5, 8191, b"xx")])
-    with pytest.raises(LsnBeyondDurable):
-        log.snapshot(100)
-    log.append([{"page_id": 3, "offset": 0, "data": b"open", "mtr_id": 9, "is_mtr_end": False}])
-    assert log.durability() == (5, 4)
-    assert log.cool(1) == [1, 2, 3]
-    again = PageLog.open(spark, str(tmp_path), preset="tiered", segment_bytes=60)
-    assert again.durability() == (4, 4) and again.state["next_lsn"] == 5
-    c = Node(again)
-    c.refresh()
-    assert c.get(2)[:1] == b"w"
-    with pytest.raises(PageNotFound):
-        c.get(3)
+def batch(spark, *writes, number=1):
+    """One batch of (page, offset, bytes)."""
+    rows = [(number, i, "A", p, o, bytearray(d)) for i, (p, o, d) in enumerate(writes)]
+    return spark.createDataFrame(rows, "batch_id long, pos int, node string, page_id long, offset int, data binary")
 
 
-def test_mini_transactions():
-    assert MiniTransaction(1).finish() is None
-    m = MiniTransaction(7)
-    for i in range(3):
-        m.write(i, 0, b"x")
-    assert [(r["mtr_id"], r["is_mtr_end"]) for r in m.finish()] == [(7, False), (7, False), (7, True)]
+def test_log_folder(spark, tmp_path):
+    """Three readers of a ledger at three read points; appends, an overflow, cooling, and a log opened again."""
+    log = PageLog.open(spark, str(tmp_path), preset="tiered", segment_bytes=70)
+    assert log.append_frame(batch(spark, (12, 30, b"opening"))) == 1
+    assert log.append_frame(batch(spark, (12, 30, b"OPEN"), (40, 0, b"debit"), (12, 37, b"!"))) == 4
+    early, late = log.get_page(12, 1), log.get_page(12, 4)
+    assert early[30:38] == b"opening\0" and late[30:38] == b"OPENing!" and late[:30] == bytes(30)
+    with pytest.raises(PageNotFound):
+        log.get_page(40, 1)
+    with pytest.raises(LsnBeyondDurable):
+        log.snapshot(5)
+    with pytest.raises(PageOverflow):
+        log.append_frame(batch(spark, (7, 0, b"fits"), (7, 8190, b"does not")))
+    assert log.durability() == (4, 4) and log.log_bytes() == 4 * 41 + 17
+    assert log.cool(1) == 3 and [r.tier for r in log.segments().orderBy("id").collect()] == ["Cold", "Cold", "Hot", "Hot"]
+    again = PageLog.open(spark, str(tmp_path), preset="tiered", segment_bytes=70)
+    assert again.durability() == (4, 4) and again.state["next_lsn"] == 5 and again.state["first_hot"] == 3
+    assert again.append_frame(batch(spark, (40, 2, b"BIT"), number=9)) == 5
+    assert again.get_page(40, 5)[:6] == b"deBIT\0" and again.frame().where("lsn = 5").first()["prev_lsn"] == 3
 
 
-def test_caches(spark):
-    pool = BufferPool(2)
-    pool.insert(1, 5)
-    assert pool.get(1, 10) is None and pool.get(1, 3) == 5
-    pool = BufferPool(2)
-    pool.insert(1, 1), pool.insert(2, 1), pool.get(2, 1), pool.get(2, 1)
-    assert pool.insert(3, 1) == 1
-    pool.invalidate(2)
-    assert pool.get(2, 0) is None
-    steps = spark.createDataFrame([("A", 1, "get", 1, 5), ("A", 2, "get", 1, 5), ("A", 3, "put", 1, 6), ("A", 4, "get", 1, 6)], "node string, step long, op string, page_id long, read_point long")
-    assert [r.hit for r in buffer_pool_hits(steps).orderBy("step").collect()] == [False, True, False]
-    assert [r.hit for r in page_cache_hits(steps).orderBy("step").collect()] == [False, True, False, True]
+def test_reads_behind(spark):
+    steps = [("A", 1, "put", 1), ("B", 2, "get", 1), ("A", 3, "get", 1), ("B", 4, "refresh", 1), ("A", 5, "put", 2), ("B", 6, "get", 2), ("A", 7, "get", 2)]
+    found = staleness(spark.createDataFrame(steps, "node string, step long, op string, vdl long"))
+    assert {r.step: (r.read_point, r.behind) for r in found.collect()} == {2: (0, 1), 3: (1, 0), 6: (1, 1), 7: (2, 0)}
+    reads = spark.createDataFrame([(1, 3, 5), (2, 3, 5), (3, 3, 6), (4, 9, 5), (5, 3, 6)], "step long, page_id long, read_point long")
+    assert {r.step: r.hit for r in repeated_reads(reads).collect()} == {1: False, 2: True, 3: False, 4: False, 5: True}
 
 
 def test_trace_round_trip(spark, tmp_path):
@@ -155,33 +197,9 @@ def test_trace_round_trip(spark, tmp_path):
     assert (m.writes, m.kb_written, m.reads, m.vdl, m.cache_hit_percent) == (1, 2, 1, 9, 33)
     assert metrics(back, 100).first()["cache_hit_percent"] == 0
     assert tuple(node_state(back).first()) == ("A", 0, 1, 1)
-
-
-BURST = """
-[[steps]]
-op = "repeat"
-count = 50
-steps = [ { op = "put", page_id = 1, offset = 0, data = "burst-write" } ]
-[[steps]]
-op = "refresh"
-[[steps]]
-op = "repeat"
-count = 10
-steps = [ { op = "get", page_id = 1 } ]
-[[steps]]
-op = "get"
-page_id = 1
-node = "B"
-"""
-
-
-def test_scenario(spark):
-    _, results, totals = scenario.run(scenario.load(spark, BURST))
-    t = totals.first()
-    assert (t.writes, t.log_bytes, t.reads, t.buffer_hits, t.cache_misses, t.materializations, t.records_replayed, t.vdl) == (50, 2600, 2, 9, 1, 1, 50, 50)
-    assert results.where("node = 'B'").first()["status"] == "not_found"
-    with pytest.raises(PageOverflow):
-        scenario.run(scenario.load(spark, '[[steps]]\nop = "put"\npage_id = 1\noffset = 8192\ndata = "x"'))
+    more = spark.createDataFrame([(i, 0, "UpdatePageIndex", {"page_id": str(p), "lsn": str(10 + i)}) for i, p in enumerate([4, 2, 4])], "seq long, timestamp_us long, kind string, fields map<string,string>")
+    assert tuple(shared_state(back.union(more)).first()) == (0, 9, 2048, 2)
+    assert [tuple(r) for r in indexed_pages(more).collect()] == [(2, 11), (4, 12)]
 
 
 def test_vcl_over_batches(spark):
@@ -191,22 +209,9 @@ def test_vcl_over_batches(spark):
         assert state.vcl == want
 
 
-def test_workloads(spark):
-    from palimpsest.plans import workload
-
-    both = workload.interleaved(workload.steps(spark, "write", 5, "A"), workload.steps(spark, "mixed", 6, "B"))
-    log, results, totals = scenario.run(both)
-    assert [r.page_id for r in log.orderBy("lsn").collect()] == [100, 101, 102, 103, 104]
-    assert totals.first()["writes"] == 5 and {r.status for r in results.collect()} == {"not_found"}
-    reads = workload.steps(spark, "read", 12, "B")
-    assert [r.page_id for r in reads.orderBy("step").collect()] == [None, *range(1, 11), 1, 2]
-    with pytest.raises(ValueError):
-        workload.steps(spark, "none", 1)
-
-
 def test_bulk_appends_and_bases(spark, tmp_path):
     log = PageLog.open(spark, str(tmp_path))
-    Node(log).put(1, 0, b"zero")
+    log.append_frame(batch(spark, (1, 0, b"zero")))
     writes = [(b, p, "A", (b + p) % 3, p, bytearray([b])) for b in range(5, 9) for p in range(3)]
     frame = spark.createDataFrame(writes, "batch_id long, pos int, node string, page_id long, offset int, data binary")
     assert log.append_frame(frame) == 13 and log.durability() == (13, 13)
@@ -221,7 +226,7 @@ def test_bulk_appends_and_bases(spark, tmp_path):
         assert r.prev_lsn == last.get(r.page_id, 0)
         last[r.page_id] = r.lsn
     assert log.make_base() == 13
-    Node(log).put(2, 100, b"after")
+    log.append_frame(batch(spark, (2, 100, b"after")))
     assert log.get_page(2, 14)[100:105] == b"after" and log.get_page(2, 14)[:100] == full[2][0][:100]
     assert {r.page_id: bytes(r.page) for r in PageLog.open(spark, str(tmp_path)).snapshot(13).collect()} == {p: v[0] for p, v in full.items()}
     assert log.append_frame(frame.limit(0)) == 14
