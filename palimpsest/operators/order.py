@@ -1,17 +1,22 @@
 """Positions, running aggregates and earlier rows over an order, without one task for a key or for all rows.
 
-Rows are dealt by ranges of the order.  Each range works on its own, in a window of one key and range, and what the
-ranges before amount to (a row for each key and range) is added.  A key that holds most rows is spread over all ranges.
+Keys of up to RANGE_ROWS rows are windows of their own.  The rows of larger keys, and of an order without keys, are dealt
+by ranges of the order: each range works on its own, in a window of one key and range, and what the ranges before amount
+to (a row for each key and range) is added, so a key that holds most rows is spread over all ranges.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows in a range, about, where the session has too few shuffle partitions for the table.
+from ..sources.shared import written
+
+#: Rows of a key that one task takes.
 RANGE_ROWS = 2_000_000
 
 
@@ -25,9 +30,8 @@ def range_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colum
 
     A range is named by bounds drawn once, so that all reads agree even if a task runs again.
     """
-    rows = df.count()
-    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
-    drawn = Counter(_quantiles(df, order[0], min(parts, max(1, rows))))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = Counter(_quantiles(df, order[0], parts))
     bounds: list[tuple[float, float]] = []
     for value, times in sorted(drawn.items()):
         bounds.append((value, float("inf")))
@@ -36,6 +40,8 @@ def range_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colum
             bounds += [(value, b) for b in sorted(set(_quantiles(own, order[1], times)))]
     if not bounds:
         return F.lit(0)
+    if all(b == float("inf") for _, b in bounds):
+        return F.size(F.filter(F.array(*[F.lit(a) for a, _ in bounds]), lambda b: b < F.col(order[0]).cast("double")))
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     steps = F.array(*[pair(F.lit(a), F.lit(b)) for a, b in sorted(bounds)])
     second = F.coalesce(F.col(order[1]).cast("double"), F.lit(float("-inf"))) if len(order) > 1 else F.lit(0.0)
@@ -50,19 +56,40 @@ def with_running(df: DataFrame, order: list[str], made: dict[str, tuple[str, str
     Ties of the order must agree, except in sums, whose order among them is open.
     """
     keys = keys or []
+    if keys and parts is None:
+        crowd = df.groupBy(*keys).count().where(F.col("count") > RANGE_ROWS).drop("count")
+        if crowd.isEmpty():
+            return _windowed(df, order, made, keys, before)
+        crowd = written(crowd, "crowd").select(*[F.col(k).alias(f"_crowd{i}") for i, k in enumerate(keys)])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_crowd{i}")) for i, k in enumerate(keys)])
+        small, large = df.join(crowd, same, "left_anti"), df.join(crowd, same, "left_semi")
+        return _windowed(small, order, made, keys, before).unionByName(_ranged(large, order, made, keys, parts, before))
+    return _ranged(df, order, made, keys, parts, before)
+
+
+def _call(kind: str, x: str) -> str:
+    return {"sum": f"sum({x})", "max": f"max({x})", "last": f"last({x}, true)"}[kind]
+
+
+def _windowed(df: DataFrame, order: list[str], made: dict[str, tuple[str, str]], keys: list[str], before: bool) -> DataFrame:
+    frame = f"over (partition by {', '.join(f'`{k}`' for k in keys)} order by {', '.join(order)} rows between unbounded preceding and {'1 preceding' if before else 'current row'})"
+    of = {n: F.expr(f"{_call(kind, x)} {frame}") for n, (kind, x) in made.items()}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[(F.coalesce(c, F.lit(0)) if made[n][0] == "sum" else c).alias(n) for n, c in of.items()])
+
+
+def _ranged(df: DataFrame, order: list[str], made: dict[str, tuple[str, str]], keys: list[str], parts: int | None, before: bool) -> DataFrame:
     by = ", ".join(f"`{k}`" for k in [*keys, "_range"])
     frame = f"over (partition by {by} order by {', '.join(order)} rows between unbounded preceding and {'1 preceding' if before else 'current row'})"
-    call = {"sum": "sum({x})", "max": "max({x})", "last": "last({x}, true)"}
     ranged = df.withColumn("_range", range_of(df, order, parts))
     place = F.struct(*order)
     total = {
-        name: F.max_by(F.expr(x), F.when(F.expr(x).isNotNull(), place)) if kind == "last" else F.expr(call[kind].format(x=x)) for name, (kind, x) in made.items()
+        name: F.max_by(F.expr(x), F.when(F.expr(x).isNotNull(), place)) if kind == "last" else F.expr(_call(kind, x)) for name, (kind, x) in made.items()
     }
     sums = ranged.groupBy(*keys, "_range").agg(*[c.alias(f"_{n}") for n, c in total.items()])
     # A row for each key and range: windows of no more rows than there are ranges.
     above = f"over ({'partition by ' + ', '.join(f'`{k}`' for k in keys) if keys else ''} order by _range rows between unbounded preceding and 1 preceding)"
-    sums = sums.select(*keys, "_range", *[F.expr(f"{call[kind].format(x=f'_{n}')} {above}").alias(f"_{n}") for n, (kind, _) in made.items()])
-    out = ranged.select("*", *[F.expr(f"{call[kind].format(x=x)} {frame}").alias(f"_own_{n}") for n, (kind, x) in made.items()])
+    sums = sums.select(*keys, "_range", *[F.expr(f"{_call(kind, f'_{n}')} {above}").alias(f"_{n}") for n, (kind, _) in made.items()])
+    out = ranged.select("*", *[F.expr(f"{_call(kind, x)} {frame}").alias(f"_own_{n}") for n, (kind, x) in made.items()])
     same = F.col("l._range") == F.col("r._range")
     for k in keys:
         same &= F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import overflows, zero_page
@@ -30,21 +30,22 @@ def winning_bytes(log: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, "lsn", (F.col("offset") + F.col("i")).alias("place"), "byte").groupBy(*keys, "place").agg(F.max_by("byte", "lsn").alias("byte"))
 
 
-def assembled(winners: DataFrame, keys: list[str], base: DataFrame | None = None) -> DataFrame:
-    """(keys, page) from winning bytes, through lines of 64 bytes, so that no group is large.
+def _lines(winners: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lines): winning bytes as a map of maps, line of 64 bytes and place in it, so that no group is large."""
+    line = winners.groupBy(*keys, F.floor(F.col("place") / LINE).cast("int").alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % LINE).cast("int").alias("k"), "byte"))).alias("m"))
+    return line.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", "m"))).alias("lines"))
 
-    ``base`` (keys, page): the images on which the bytes are laid, zeroes where there is none; only pages with winners come out.
-    """
-    blank = "0" * (2 * LINE)
-    lines = winners.groupBy(*keys, F.floor(F.col("place") / LINE).alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % LINE).cast("int").alias("k"), "byte"))).alias("m"))
-    pages = lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("int").alias("k"), "m"))).alias("m"))
-    if base is None:
-        old = f"'{blank}'"
-    else:
-        pages = pages.join(base.select(*keys, F.hex("page").alias("_base")), keys, "left")
-        old = f"coalesce(substring(_base, i * {2 * LINE} + 1, {2 * LINE}), '{blank}')"
-    line = f"array_join(transform(sequence(0, {LINE - 1}), j -> coalesce(m[i][j], substring({old}, 2 * j + 1, 2))), '')"
-    return pages.select(*keys, F.unhex(F.expr(f"array_join(transform(sequence(0, {PAGE_SIZE // LINE - 1}), i -> if(m[i] is null, {old}, {line})), '')")).alias("page"))
+
+def _laid(old: str | None = None) -> Column:
+    """The page of ``lines`` laid on an image (a binary column ``old``), or on zeroes; a line without bytes is taken as it is."""
+    some = lambda at, n: f"coalesce(hex(substring({old}, {at} + 1, {n})), '{'00' * n}')" if old else f"'{'00' * n}'"
+    line = f"array_join(transform(sequence(0, {LINE - 1}), j -> coalesce(lines[i][j], {some(f'i * {LINE} + j', 1)})), '')"
+    return F.unhex(F.expr(f"array_join(transform(sequence(0, {PAGE_SIZE // LINE - 1}), i -> if(lines[i] is null, {some(f'i * {LINE}', LINE)}, {line})), '')"))
+
+
+def assembled(winners: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page) from winning bytes."""
+    return _lines(winners, keys).select(*keys, _laid().alias("page"))
 
 
 def snapshot(log: DataFrame, read_point: int, base: DataFrame | None = None, base_lsn: int = 0) -> DataFrame:
@@ -55,13 +56,12 @@ def snapshot(log: DataFrame, read_point: int, base: DataFrame | None = None, bas
     """
     seen = checked(log.where((F.col("lsn") <= read_point) & (F.col("lsn") > base_lsn)).select("page_id", "lsn", "offset", "data"))
     chains = seen.groupBy("page_id").agg(F.count("*").alias("chain_len"), F.max("lsn").alias("last_lsn"))
-    pages = assembled(winning_bytes(seen, ["page_id"]), ["page_id"], base)
-    new = chains.join(pages, "page_id", "left")
-    page = F.coalesce("page", zero_page())
+    new = chains.join(_lines(winning_bytes(seen, ["page_id"]), ["page_id"]), "page_id", "left")
+    page = F.when(F.col("lines").isNull(), zero_page()).otherwise(_laid())
     if base is not None:
         was = base.select("page_id", F.col("page").alias("_page"), F.col("chain_len").alias("_len"), F.col("last_lsn").alias("_lsn"))
         new = new.join(was, "page_id", "full_outer").withColumns({"chain_len": F.coalesce("chain_len", F.lit(0)) + F.coalesce("_len", F.lit(0)), "last_lsn": F.coalesce("last_lsn", "_lsn")})
-        page = F.coalesce("page", "_page", zero_page())
+        page = F.when(F.col("lines").isNull(), F.coalesce("_page", zero_page())).otherwise(_laid("_page"))
     return new.select("page_id", F.lit(read_point).cast("long").alias("read_point"), page.alias("page"), "chain_len", "last_lsn")
 
 

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import durability, log, pages, reads, segments, trace
 from ..operators.order import with_position
 from ..sources.derived import events_log, events_stream, lineitem_writes, linked_events_log
+from ..sources.shared import written
 from ..sources.wal import decode_segments, encode_segments
 from ..streaming import incremental
 
@@ -90,12 +91,13 @@ ITEM_ORDER = ["batch_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedp
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return log.assign_lsns(lineitem_writes(spark, d), 1, ITEM_ORDER)
+    """lineitem as a numbered log, at rest as logs are."""
+    return written(log.assign_lsns(lineitem_writes(spark, d), 1, ITEM_ORDER).select("lsn", "batch_id", "page_id"), "items")
 
 
 @query(f"{ITEMS} SELECT batch_id, page_id, lsn FROM li")
 def assign_lsn(spark, d):
-    return _items(spark, d).select("batch_id", "page_id", "lsn")
+    return log.assign_lsns(lineitem_writes(spark, d), 1, ITEM_ORDER).select("batch_id", "page_id", "lsn")
 
 
 @query(f"{ITEMS} SELECT lsn, page_id, coalesce(lag(lsn) OVER (PARTITION BY page_id ORDER BY lsn), 0) AS prev_lsn FROM li")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import durability as D
 from palimpsest.operators import log as L
+from palimpsest.operators import order
 from palimpsest.operators import pages as P
 from palimpsest.operators.order import range_of, with_position, with_running, with_running_sum
 from palimpsest.schema import Corruption
@@ -66,7 +67,7 @@ def test_running_sums_with_ties(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
-def test_running_values_of_keys(spark, parts):
+def test_running_values_of_keys(spark, monkeypatch, parts):
     """A hot key, one large batch, nulls: sums, maxima and last values against a plain loop."""
     rng = random.Random(parts)
     rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), 7 if i < 120 else i // 9, i, rng.randrange(100), rng.choice([None, i])) for i in range(300)]
@@ -81,8 +82,12 @@ def test_running_values_of_keys(spark, parts):
             own[:] = own[0] + v, v if own[1] is None else max(own[1], v), own[2] if w is None else w
             if not before:
                 want[b] = tuple(own)
+        want_before = want if before else None
         found = with_running(df, ["a", "b"], made, ["k"], parts, before).collect()
         assert {r.b: (r.s, r.m, r.l) for r in found} == want
+    monkeypatch.setattr(order, "RANGE_ROWS", 100)
+    both = with_running(df, ["a", "b"], made, ["k"], before=True).collect()  # the hot key in ranges, the others as they are
+    assert {r.b: (r.s, r.m, r.l) for r in both} == want_before
     spread = df.groupBy(range_of(df, ["a", "b"], 8).alias("r")).count().collect()
     assert max(r["count"] for r in spread) < 100
 
