@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .session import materialize
 from .textops import U64, document_words_and_endings, mix
 
-CLASSES, RARE = 128, 96
+CLASSES, RARE = 96, 72
 SIDE = 2
-WIDTH, HIDDEN = 12, 24
+WIDTH, HIDDEN = 12, 16
 ROUNDS, MASK_ONE_IN = 2, 2  # every token is a target
 KNOWN = 200_000  # words whose counts are broadcast (16 bytes each)
 BATCH, RATE = 1024, 0.04
@@ -107,6 +107,17 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return vocab
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, a row's values scaled alike where they would leave the range of float32; and the logs of the scales."""
+    if z.max(initial=0.0) > 60 or z.min(initial=0.0) < -60:
+        most = z.max(axis=1)
+        z -= most[:, None]
+        np.exp(z, out=z)
+        return most
+    np.exp(z, out=z)
+    return np.float32(0)
+
+
 class Network:
     """Embeddings of the neighbours, one hidden layer, softmax over classes. ``flat`` holds all weights."""
 
@@ -138,18 +149,14 @@ class Network:
         n = len(target)
         v = emb[around].reshape(n, -1)
         h = np.maximum(v @ a + ab, 0)
-        z = h @ b + bb
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
+        p = h @ b
+        p += bb
+        _exp(p)
+        p *= (1 / (n * (p @ np.ones(CLASSES, np.float32))))[:, None]
+        p[np.arange(n), target] -= np.float32(1 / n)
         g = (p @ b.T) * (h > 0)
-        ge = np.zeros_like(emb)
-        gv = (g @ a.T).reshape(n, 2 * SIDE, WIDTH)
-        flat = around.ravel()
-        for w in range(WIDTH):
-            ge[:, w] = np.bincount(flat, gv[:, :, w].ravel(), CLASSES)
+        at = (around[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        ge = np.bincount(at, (g @ a.T).ravel(), CLASSES * WIDTH).astype(np.float32).reshape(emb.shape)
         for q, grad, s in zip(self.parts, (ge, v.T @ g, g.sum(0), h.T @ p, p.sum(0)), held, strict=True):
             s += grad * grad
             q -= RATE * grad / (np.sqrt(s) + 1e-6)
@@ -165,11 +172,11 @@ class Network:
             h = ab + tables[0][line[lo + shifts[0] : hi + shifts[0]]]
             for t, s in zip(tables[1:], shifts[1:], strict=True):
                 h += t[line[lo + s : hi + s]]
-            z = np.maximum(h, 0) @ b + bb
+            z = np.maximum(h, 0, out=h) @ b
+            z += bb
             own = z[np.arange(hi - lo), line[lo:hi]]
-            most = z.max(axis=1, keepdims=True)
-            z -= most
-            out[lo:hi] = own - most[:, 0] - np.log(np.exp(z, out=z).sum(axis=1))
+            scale = _exp(z)
+            out[lo:hi] = own - scale - np.log(z @ np.ones(CLASSES, np.float32))
         return out
 
 
