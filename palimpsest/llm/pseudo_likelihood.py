@@ -7,7 +7,7 @@ Vocabulary.  All words of all documents are counted.  The most frequent are clas
 their own; the others fall into RARE classes by their last two bytes, which tell language and
 form, so that the words around tell something about them.  Inside a class every word has its
 own share, its count by the class's: a token's probability is the network's of the class times
-that share.  The counts of the KNOWN most frequent words go to the tasks; those of all
+that share.  The counts of up to KNOWN most frequent words go to the tasks; those of all
 others, however many, are joined in Spark.  Class 0 stands for what is beyond a document's
 ends.
 
@@ -81,8 +81,8 @@ class Vocabulary:
         """Sum of the tokens' log-shares of their classes, in which the words returned still lack the log of their count."""
         if not len(w):
             return 0.0, w
-        at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
-        is_known = self.known[at] == w
+        at = np.minimum(np.searchsorted(self.known, w), max(0, len(self.known) - 1))
+        is_known = self.known[at] == w if len(self.known) else np.zeros(len(w), bool)
         return float(self.log_known[at[is_known]].sum() - np.log(np.maximum(self.counts[classes], 1)).sum()), w[~is_known]
 
     def classes(self, w: np.ndarray, endings: np.ndarray) -> np.ndarray:
@@ -95,12 +95,19 @@ class Vocabulary:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = materialize(word_counts(docs), "words")
-    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    # The most frequent words by powers of two of their counts, KNOWN at most: no task sends more than its part of them.
+    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()
+    level, held = 64, 0
+    for r in sorted(sizes, key=lambda r: -r["e"]):
+        if held + r["count"] > KNOWN:
+            break
+        level, held = r["e"], held + r["count"]
+    known = counts.where(F.col("n") >= F.lit(2.0) ** level).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
     top = words[: CLASSES - RARE - 1]
     rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(w),) for w in top], "word long")), "word", "left_anti")
     sums = rare.groupBy("rare").agg(F.sum("n").alias("n")).collect()
-    vocab = Vocabulary(top.tolist(), np.zeros(CLASSES), words, n, counts if len(words) == KNOWN else None)
+    vocab = Vocabulary(top.tolist(), np.zeros(CLASSES), words, n, counts if level else None)
     vocab.counts[np.searchsorted(vocab.words, top.astype(U64)) + 1] = n[: len(top)]
     for r in sums:
         vocab.counts[r["rare"]] = r["n"]
