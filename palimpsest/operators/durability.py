@@ -16,10 +16,11 @@ def vcl(log: DataFrame) -> DataFrame:
     The first gap ends at the smallest LSN of which the next is missing; an anti-join finds it without a
     global order.  Repeated LSNs count once.
     """
-    lsns = log.select("lsn").where("lsn > 0").distinct()
-    ends = lsns.union(log.sparkSession.range(1).select(F.lit(0).cast("long").alias("lsn")))
+    lsns = log.select("lsn").where("lsn > 0")
     following = lsns.select((F.col("lsn") - 1).alias("lsn"))
-    return ends.join(following, "lsn", "left_anti").agg(F.min("lsn").alias("vcl"))
+    gap = lsns.join(following, "lsn", "left_anti").agg(F.min("lsn").alias("gap"))
+    first = lsns.agg(F.min("lsn")).scalar()
+    return gap.select(F.when(first == 1, F.col("gap")).otherwise(F.lit(0)).cast("long").alias("vcl"))
 
 
 def durability(log: DataFrame) -> DataFrame:
