@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import materialize
-from .textops import U64, _runs, document_words, shingle_hashes
+from .textops import U64, _runs, document_words, pieces, shingle_hashes
 
 RADIUS = 3
 SIZE_STEP = 1.15
@@ -324,7 +324,7 @@ def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 keep[[row for row, *_ in scan(batch.column(where), shared.value)]] = False
-                yield batch.filter(pa.array(keep))
+                yield from pieces(batch.filter(pa.array(keep)))
 
         return rows.mapInArrow(each, docs.schema)
 

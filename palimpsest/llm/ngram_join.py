@@ -45,7 +45,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .session import materialize
-from .textops import U64, distinct, document_shingles, mix
+from .textops import U64, distinct, document_shingles, mix, pieces
 
 FREQUENT = 16
 #: The largest number of frequent shingles handed to the tasks (8 bytes each). With more, the frequency rises.
@@ -242,7 +242,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, freque
                 for rows in _posting_rows(c, s, shared.value, percent, pair_size):
                     parts.append(rows)
                     held += len(rows[0])
-                if held > 200_000:
+                if held > 50_000:
                     yield flush(parts)
                     parts, held = [], 0
             if parts:
@@ -419,9 +419,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where, names = docs.schema.fieldNames().index(text_col), docs.schema.fieldNames()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = pa.array([class_id(s) for s in document_shingles(batch.column(where), k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names), cls], ["row", "cls"])
+        for part in (x for batch in batches for x in pieces(batch)):
+            cls = pa.array([class_id(s) for s in document_shingles(part.column(where), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(part.columns, names), cls], ["row", "cls"])
 
     blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     tagged = docs.where(~blank).mapInArrow(each, StructType([StructField("row", docs.schema), StructField("cls", LongType())]))

@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import pieces
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns. A hex or access match that is too short leaves no other match in its run,
 #: so their least lengths are part of the pattern; an assign match that is too short is dropped with what it took.
@@ -271,7 +273,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     where = docs.schema.fieldNames().index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole)):
             texts = []
             for value in batch.column(where):
                 text = value.as_py()

@@ -17,6 +17,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # 5 mod 8
 _MASK = (1 << 64) - 1
 CHUNK_BYTES = 1 << 16
+PIECE_ROWS = 500
 
 
 def _table() -> np.ndarray:
@@ -64,6 +65,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, a few at a time: a task that hands whole texts back to the JVM never has many of them in flight."""
+    for lo in range(0, len(batch), rows):
+        yield batch.slice(lo, rows)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``most`` bytes each; a longer document stands alone."""
     i, n = 0, len(offsets) - 1

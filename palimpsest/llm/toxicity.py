@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import pieces
+
 SAMPLE = 8000
 STEM_LENGTHS = range(4, 9)
 EVIDENCE = 8.0  # nats by which a term's toxic share must differ from the base rate
@@ -350,6 +352,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finds = _Finds(shared.value[0])
         for batch in batches:
-            yield batch.filter(pa.array([score < 0.5 for score, _ in scored(batch.column(where), shared.value, finds)], pa.bool_()))
+            yield from pieces(batch.filter(pa.array([score < 0.5 for score, _ in scored(batch.column(where), shared.value, finds)], pa.bool_())))
 
     return docs.mapInArrow(each, docs.schema)
