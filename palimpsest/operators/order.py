@@ -49,6 +49,16 @@ def range_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colum
     return F.size(F.filter(steps, lambda b: b < own))
 
 
+def by_crowd(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys of up to RANGE_ROWS rows, and those of larger keys (None if there are none)."""
+    crowd = written(df.groupBy(*keys).count().where(F.col("count") > RANGE_ROWS).drop("count"), "crowd")
+    if crowd.isEmpty():
+        return df, None
+    crowd = crowd.select(*[F.col(k).alias(f"_crowd{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_crowd{i}")) for i, k in enumerate(keys)])
+    return df.join(crowd, same, "left_anti"), df.join(crowd, same, "left_semi")
+
+
 def with_running(df: DataFrame, order: list[str], made: dict[str, tuple[str, str]], keys: list[str] | None = None, parts: int | None = None, before: bool = False) -> DataFrame:
     """Columns over the rows up to and with this one (``before``: without it) of its key, in order.
 
@@ -57,13 +67,9 @@ def with_running(df: DataFrame, order: list[str], made: dict[str, tuple[str, str
     """
     keys = keys or []
     if keys and parts is None:
-        crowd = df.groupBy(*keys).count().where(F.col("count") > RANGE_ROWS).drop("count")
-        if crowd.isEmpty():
-            return _windowed(df, order, made, keys, before)
-        crowd = written(crowd, "crowd").select(*[F.col(k).alias(f"_crowd{i}") for i, k in enumerate(keys)])
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_crowd{i}")) for i, k in enumerate(keys)])
-        small, large = df.join(crowd, same, "left_anti"), df.join(crowd, same, "left_semi")
-        return _windowed(small, order, made, keys, before).unionByName(_ranged(large, order, made, keys, parts, before))
+        small, large = by_crowd(df, keys)
+        few = _windowed(small, order, made, keys, before)
+        return few if large is None else few.unionByName(_ranged(large, order, made, keys, parts, before))
     return _ranged(df, order, made, keys, parts, before)
 
 

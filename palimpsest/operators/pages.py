@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions.columns import overflows, zero_page
 from ..schema import PAGE_SIZE
 from ..sources.shared import written
+from . import order
 from .order import with_position, with_running
 
 LINE = 64
+#: Images that a task of as-of reads hands over at a time.
+IMAGE_ROWS = 256
 
 
 def checked(log: DataFrame) -> DataFrame:
@@ -107,21 +114,66 @@ def read_status(requests: DataFrame, log: DataFrame, vdl: int) -> DataFrame:
 
 
 def asof_reads(requests: DataFrame, log: DataFrame, vdl: int) -> DataFrame:
-    """(req_id, page_id, read_point, page) of the requests that succeed: one image for each distinct page and read point.
+    """(req_id, page_id, read_point, page) of the requests that succeed.
 
-    A record belongs to the first read point of its page that sees it; the winners of each such interval are few.  A
-    byte at a read point is the last winner of its place up to there, a running value: no request meets a record.
+    Records and requests of a page are replayed in one order: a record goes into the page's image, a request takes the
+    image as it stands.  Only the order is shuffled, no image is, and a task holds one image and a batch of results.
+    Pages with more than RANGE_ROWS records and requests are replayed by ranges, each from what the ranges before left.
     """
-    points = written(requests.where(F.col("read_point") <= vdl).select("page_id", "read_point").distinct(), "points")
-    order = _asked(points.withColumn("req_id", F.lit(0)), checked(log).select("page_id", "lsn", "offset", "data"))
-    order = order.withColumns({"_at": -F.col("at"), "_kind": -F.col("is_request")})  # back from the end, requests first
-    seen = with_running(order, ["_at", "_kind"], {"seen_at": ("last", "read_point")}, ["page_id"]).where("is_request = 0 and seen_at is not null").select("page_id", "lsn", F.col("seen_at").alias("read_point"))
-    deltas = written(winning_bytes(seen.join(checked(log).select("page_id", "lsn", "offset", "data"), ["page_id", "lsn"]), ["page_id", "read_point"]), "deltas")
-    # Every place of a page at every read point: as many rows as the images have bytes that are written.
-    grid = deltas.select("page_id", "place").distinct().join(points, "page_id").select("page_id", "place", "read_point")
-    filled = with_running(grid.join(deltas, ["page_id", "place", "read_point"], "left"), ["read_point"], {"byte": ("last", "byte")}, ["page_id", "place"]).where("byte is not null")
-    pages = assembled(filled, ["page_id", "read_point"])
-    # A page may hold records without bytes only: it is there, and blank.
-    first = log.groupBy("page_id").agg(F.min("lsn").alias("_first"))
-    there = points.join(first, "page_id").where("_first <= read_point").join(pages, ["page_id", "read_point"], "left").select("page_id", "read_point", F.coalesce("page", zero_page()).alias("page"))
-    return requests.join(there, ["page_id", "read_point"]).select("req_id", "page_id", "read_point", "page")
+    kinds = {c: requests.schema[c].dataType for c in ("req_id", "page_id", "read_point")}
+    # A record comes before the requests at its LSN; these are in any order, so that many for one read point need not be in one range.
+    records = checked(log.where(F.col("lsn") <= vdl).select("page_id", "lsn", "offset", "data")).select(
+        F.col("page_id").cast(kinds["page_id"]).alias("page_id"), F.col("lsn").cast("long").alias("at"), F.lit(-1).alias("turn"), "offset", "data", F.lit(None).cast(kinds["req_id"]).alias("req_id")
+    )
+    asked = requests.where(F.col("read_point") <= vdl).select(
+        "page_id", F.col("read_point").cast("long").alias("at"), F.pmod(F.xxhash64("req_id"), F.lit(1000)).cast("int").alias("turn"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("binary").alias("data"), "req_id"
+    )
+    small, large = order.by_crowd(records.union(asked).where("page_id is not null"), ["page_id"])
+    steps = small.withColumn("_range", F.lit(0))
+    if large is not None:
+        parts = -(-large.count() // order.RANGE_ROWS)
+        large = large.withColumn("_range", order.range_of(large, ["at", "turn"], parts))
+        steps = steps.union(large).unionByName(_left_before(large).withColumns({"at": F.lit(None).cast("long"), "turn": F.lit(-1), "req_id": F.lit(None).cast(kinds["req_id"])}))
+    dealt = steps.repartition(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id", "_range").sortWithinPartitions("page_id", "_range", F.asc_nulls_first("at"), "turn")
+    schema = StructType([StructField("req_id", kinds["req_id"]), StructField("page_id", kinds["page_id"]), StructField("read_point", LongType()), StructField("page", BinaryType())])
+    shown = dealt.select("page_id", "_range", "at", "turn", "offset", "data", "req_id").mapInArrow(_replayed, schema)
+    return shown.withColumn("read_point", F.col("read_point").cast(kinds["read_point"]))
+
+
+def _left_before(steps: DataFrame) -> DataFrame:
+    """(page_id, _range, offset, data): what the records of a page's earlier ranges leave, as records of a byte; one without bytes tells that there were any."""
+    records = steps.where("turn < 0").withColumnRenamed("at", "lsn")
+    own = winning_bytes(records, ["page_id", "_range"])
+    own = written(own.union(records.select("page_id", "_range", F.lit(-1).alias("place"), F.lit("").alias("byte")).distinct()), "ranges")
+    # A row for each page, range and byte: windows of no more rows than there are ranges.
+    grid = own.select("page_id", "place").distinct().join(steps.select("page_id", "_range").distinct(), "page_id").join(own, ["page_id", "_range", "place"], "left")
+    left = F.expr("last(byte, true) over (partition by page_id, place order by _range rows between unbounded preceding and 1 preceding)")
+    return grid.withColumn("byte", left).where("byte is not null").select("page_id", "_range", F.greatest("place", F.lit(0)).cast("int").alias("offset"), F.unhex("byte").alias("data"))
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(req_id, page_id, read_point, page) of steps sorted by page, range and place in the order."""
+    own, image, still, out = None, None, None, []
+    for batch in batches:
+        req = batch.schema.field("req_id").type
+        kinds = [req, batch.schema.field("page_id").type, pa.int64(), pa.binary()]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["req_id", "page_id", "read_point", "page"])  # noqa: B023, E731
+        for page, part, at, turn, offset, data, req_id in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if own != (page, part):
+                own, image = (page, part), None
+            if turn < 0:
+                if image is None:
+                    image = bytearray(PAGE_SIZE)
+                if data:
+                    data, offset = data[max(0, -offset) :], max(0, offset)
+                    image[offset : offset + len(data)] = data
+                still = None
+            elif image is not None:
+                still = still or bytes(image)
+                out.append((req_id, page, at, still))
+                if len(out) == IMAGE_ROWS:
+                    yield made()
+                    out = []
+        if out:
+            yield made()
+            out = []

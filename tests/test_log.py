@@ -163,3 +163,35 @@ def test_random_logs_against_a_replay(spark):
         assert {r.page_id: bytes(r.page) for r in P.snapshot(log, rp).collect()} == {k: bytes(v) for k, v in want.items()}
         asked = spark.createDataFrame([(p, p, rp) for p in range(5)], "req_id long, page_id long, read_point long")
         assert {r.page_id: bytes(r.page) for r in P.asof_reads(asked, log, 120).collect()} == {k: bytes(v) for k, v in want.items()}
+
+
+def replayed(rows, asked):
+    """The images that requests see, by a plain replay for each."""
+    want = {}
+    for req, page, rp in asked:
+        for lsn, p, off, data, *_ in rows:
+            if p == page and lsn <= rp:
+                own = want.setdefault(req, bytearray(8192))
+                own[off : off + len(data) // 2] = bytes.fromhex(data)
+    return {k: bytes(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("most", [30, 1 << 20])
+def test_as_of_reads_of_a_crowded_page(spark, monkeypatch, most):
+    """Page 0 has most records and requests, many of these for one read point; page 3 has blank records only."""
+    monkeypatch.setattr(order, "RANGE_ROWS", most)
+    rng = random.Random(9)
+    rows = [(i + 1, rng.choice([0, 0, 0, 1, 2]), rng.randrange(8180), rng.randbytes(rng.randrange(12)).hex(), 1, i) for i in range(150)] + [(i, 3, 5, "", 1, i) for i in range(200, 290)]
+    asked = [(i, rng.choice([0, 0, 1, 2, 4]), rng.randrange(160)) for i in range(150)] + [(i, 0, 70) for i in range(150, 220)] + [(i, 3, i) for i in range(220, 300)]
+    found = P.asof_reads(spark.createDataFrame(rng.sample(asked, len(asked)), "req_id long, page_id long, read_point long"), make(spark, rows), 280).collect()
+    want = replayed(rows, [a for a in asked if a[2] <= 280])
+    assert len(found) == len(want) and {r.req_id: bytes(r.page) for r in found} == want
+    assert {r.req_id: (r.req_id, r.page_id, r.read_point) for r in found} == {a[0]: a for a in asked if a[0] in want}
+
+
+def test_as_of_reads_shuffle_no_image(spark):
+    """Rows that are shuffled are as narrow as records; the images are made after the last exchange."""
+    log = make(spark, [(i + 1, i % 3, 0, "01", 1, i) for i in range(30)])
+    asked = spark.createDataFrame([(i, i % 3, i) for i in range(30)], "req_id long, page_id long, read_point long")
+    plan = P.asof_reads(asked, log, 30)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange" if "Exchange" in plan else "Repartition")
