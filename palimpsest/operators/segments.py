@@ -5,15 +5,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_bytes, segment_filename
+from ..schema import HEADER_BYTES
 from .order import with_running
 
 
-RANGE_RECORDS = 1_000_000
+#: Records of which a task holds the sizes at a time.
+RANGE_RECORDS = 100_000
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, LSNs, sizes) of each range, from (range, lsn, size) rows sorted by range and LSN; no more than one range is held."""
+    own, lsns, sizes = None, [], []
+    for batch in batches:
+        of, lsn, size = (c.to_numpy() for c in batch.columns)
+        ends = np.flatnonzero(np.diff(of, append=of[-1:] + 1)) + 1
+        for a, b in zip(np.r_[0, ends][:-1], ends, strict=True):
+            if of[a] != own:
+                if lsns:
+                    yield own, np.concatenate(lsns), np.concatenate(sizes)
+                own, lsns, sizes = int(of[a]), [], []
+            lsns.append(lsn[a:b].copy())
+            sizes.append(size[a:b].copy())
+    if lsns:
+        yield own, np.concatenate(lsns), np.concatenate(sizes)
 
 
 def _next_starts(total: np.ndarray, most: int) -> np.ndarray:
@@ -43,30 +66,31 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
     the bytes it finds open only up to its first new segment.  Each range works that out for itself,
     the driver chains a few numbers a range, and each range then assigns its records.
     """
-    spark = log.sparkSession
     span = log.agg(F.min("lsn"), F.max("lsn"), F.count("*")).first()
     if span[0] is None:
         return log.withColumn("segment_id", F.lit(first_id).cast("long")).withColumn("file_offset", F.lit(0).cast("long"))
     parts = parts or max(1, -(-span[2] // RANGE_RECORDS))
     width = max(1, -(-(span[1] - span[0] + 1) // parts))
-    sized = log.select("lsn", entry_bytes(F.col("data")).alias("size"), F.floor((F.col("lsn") - span[0]) / width).alias("range"))
-
-    def outline(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows.sort_values("lsn")["size"].to_numpy(np.int64)
-        total = np.r_[0, np.cumsum(sizes)]
-        turns, left = _ends(sizes, segment_bytes)
-        # With b bytes open, the first new segment starts at the first record i with b + total[i + 1] > most.
-        first = np.arange(min(len(sizes), int(np.searchsorted(total, segment_bytes, side="right"))))
-        return pd.DataFrame({"range": key[0], "fits": segment_bytes - total[first + 1], "turns": turns[first] + 1, "left": left[first], "bytes": total[-1]})
-
-    outlines = sized.groupBy("range").applyInPandas(outline, "range long, fits long, turns long, left long, bytes long")
-    segment, open_bytes, starts = first_id, 0, []
+    size = F.coalesce(entry_bytes(F.col("data")), F.lit(HEADER_BYTES).cast("long"))
+    sized = log.where("lsn is not null").select(F.floor((F.col("lsn") - span[0]) / width).alias("range"), "lsn", size.alias("size"))
+    dealt = sized.repartition("range").sortWithinPartitions("range", "lsn")
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, sizes in _ranges(batches):
+            total = np.r_[0, np.cumsum(sizes)]
+            turns, left = _ends(sizes, segment_bytes)
+            # With b bytes open, the first new segment starts at the first record i with b + total[i + 1] > most.
+            first = np.arange(min(len(sizes), int(np.searchsorted(total, segment_bytes, side="right"))))
+            yield _batch(range=np.full(len(first), key), fits=segment_bytes - total[first + 1], turns=turns[first] + 1, left=left[first], bytes=np.full(len(first), total[-1]))
+
+    outlines = dealt.mapInArrow(outline, "range long, fits long, turns long, left long, bytes long")
+    segment, open_bytes, starts = first_id, 0, {}
     held = {}
-    for row in outlines.toLocalIterator():
+    for row in outlines.collect():
         held.setdefault(row["range"], []).append(row)
     for key in sorted(held):
         rows = held[key]
-        starts.append((key, segment, open_bytes))
+        starts[key] = segment, open_bytes
         # fits falls with the records: the first record that does not fit is the largest fits below the open bytes.
         over = [r for r in rows if r["fits"] < open_bytes]
         if open_bytes == 0:  # an empty segment takes its first record whatever its size
@@ -77,22 +101,20 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
             segment, open_bytes = segment + own["turns"], own["left"]
         else:
             open_bytes += rows[0]["bytes"]
-    begun = F.broadcast(spark.createDataFrame(starts, "range long, segment long, open_bytes long"))
-
-    def assign(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("lsn")
-        sizes = rows["size"].to_numpy(np.int64)
-        total = np.r_[0, np.cumsum(sizes)]
-        held = int(rows["open_bytes"].iloc[0])
-        to = _next_starts(total, segment_bytes)
-        starts = [int(np.searchsorted(total[1:], segment_bytes - held, side="right")) if held else int(to[0])]
-        while starts[-1] < len(sizes):  # a step a segment
-            starts.append(int(to[starts[-1]]))
-        turn = np.searchsorted(np.array(starts), np.arange(len(sizes)), side="right")
-        begin = np.r_[0, starts][turn]
-        return pd.DataFrame({"lsn": rows["lsn"], "segment_id": int(rows["segment"].iloc[0]) + turn, "file_offset": total[:-1] - total[begin] + np.where(turn == 0, held, 0)})
-
-    placed = sized.join(begun, "range").groupBy("range").applyInPandas(assign, "lsn long, segment_id long, file_offset long")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, lsn, sizes in _ranges(batches):
+            total = np.r_[0, np.cumsum(sizes)]
+            segment, held = starts[key]
+            to = _next_starts(total, segment_bytes)
+            begins = [int(np.searchsorted(total[1:], segment_bytes - held, side="right")) if held else int(to[0])]
+            while begins[-1] < len(sizes):  # a step a segment
+                begins.append(int(to[begins[-1]]))
+            turn = np.searchsorted(np.array(begins), np.arange(len(sizes)), side="right")
+            begin = np.r_[0, begins][turn]
+            yield _batch(lsn=lsn, segment_id=segment + turn, file_offset=total[:-1] - total[begin] + np.where(turn == 0, held, 0))
+
+    placed = dealt.mapInArrow(assign, "lsn long, segment_id long, file_offset long")
     return log.join(placed, "lsn")
 
 

@@ -35,6 +35,36 @@ def test_segments_of_random_sizes(spark):
         assert [r.segment_id - 1 for r in rows] == list(S.iterate_sizes((s + 41 for s in sizes), most))
 
 
+def test_ranges_of_records_one_at_a_time(spark):
+    """A task holds one range of records and the batch in which it ends, however many ranges it is dealt."""
+    sent = []
+
+    def batches():
+        for k in range(40):
+            sent.append(k)
+            yield S._batch(range=S.np.arange(k * 10, k * 10 + 10) // 25, lsn=S.np.arange(k * 10, k * 10 + 10), size=S.np.full(10, k))
+
+    found = []
+    for key, lsn, sizes in S._ranges(batches()):
+        found.append((key, lsn.tolist(), sizes.tolist()))
+        assert len(sent) <= (key + 1) * 2.5 + 1
+    assert found == [(k, list(range(k * 25, k * 25 + 25)), [i // 10 for i in range(k * 25, k * 25 + 25)]) for k in range(16)]
+    assert list(S._ranges(iter([S._batch(range=S.np.arange(0), lsn=S.np.arange(0), size=S.np.arange(0))]))) == []
+    assert S.RANGE_RECORDS <= 100_000
+    plan = S.assign_segments(sized(spark, [10] * 10), 60)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+
+
+def test_cooling_over_many_ranges(spark, monkeypatch):
+    """Segments and their tiers do not depend on how many ranges the records are dealt into."""
+    rng = random.Random(4)
+    log = sized(spark, [rng.randrange(0, 90) for _ in range(300)], 5)
+    want = sorted(S.cool(S.segment_table(S.assign_segments(log, 400)), 3).collect())
+    monkeypatch.setattr(S, "RANGE_RECORDS", 7)
+    assert sorted(S.cool(S.segment_table(S.assign_segments(log, 400)), 3).collect()) == want
+    assert [r.tier for r in want] == ["Cold"] * (len(want) - 4) + ["Hot"] * 4
+
+
 def test_cooling(spark):
     placed = S.assign_segments(sized(spark, [10] * 10), 60)
     table = S.segment_table(placed)
