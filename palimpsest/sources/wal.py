@@ -18,6 +18,7 @@ import shutil
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from ..functions.columns import entry_crc, header, little_endian, segment_filena
 from ..schema import HEADER_BYTES, Corruption
 
 HEADER = struct.Struct("<QQHHQQBI")
+#: Decoded entries that a task hands over at a time.
+DECODED = 2_000
 END = pa.schema([("path", pa.string()), ("segment_id", pa.int64()), ("entries", pa.int64()), ("offset", pa.int64()), ("status", pa.string())])
 ENTRY = "lsn bigint, page_id bigint, offset int, data binary, prev_lsn bigint, mtr_id bigint, is_mtr_end boolean, file_offset bigint, entry_bytes bigint, crc32 bigint, segment_id bigint"
 
@@ -132,18 +135,24 @@ def encode_segments(placed: DataFrame) -> DataFrame:
 
 def decode_segments(files: DataFrame) -> DataFrame:
     """The entries of (path, content) rows, one file each."""
+    return files.mapInArrow(_decoded, ENTRY)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries DECODED at a time, of a part of a file or of several files."""
     names = [x.split()[0] for x in ENTRY.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries() -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 segment = segment_of(path.as_py())
-                rows = [(*e, segment) for e in decode_entries(content.as_py())]
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                for e in decode_entries(content.as_py()):
+                    yield (*e, segment)
 
-    return files.mapInArrow(each, ENTRY)
+    found = entries()
+    while rows := list(islice(found, DECODED)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 class WalSource(DataSource):

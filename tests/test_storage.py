@@ -94,6 +94,16 @@ def test_codec():
         wal.encode_entry(1, 1, 0, bytes(70_000), 0, 1, True)
 
 
+def test_decoding_hands_over_few_entries_at_a_time():
+    """A file of many entries is not held as rows, and many small files do not make a batch each."""
+    one = wal.pa.RecordBatch.from_pydict({"path": ["wal_000001.seg"], "content": [b"".join(wal.encode_entry(i + 1, 1, 0, b"x", i, 1, True) for i in range(9_000))]})
+    many = wal.pa.RecordBatch.from_pydict({"path": [f"wal_{i:06d}.seg" for i in range(1, 301)], "content": [b"".join(entries(10))] * 300})
+    for given, n, files in ((one, 9_000, 1), (many, 3_000, 300)):
+        made = list(wal._decoded(iter([given])))
+        assert max(b.num_rows for b in made) <= wal.DECODED and len(made) == -(-n // wal.DECODED)
+        assert sum(b.num_rows for b in made) == n and len({s for b in made for s in b.column("segment_id").to_pylist()}) == files
+
+
 def test_torn_log_recovers_and_appends_survive(spark, tmp_path):
     raw = b"".join(wal.encode_entry(i, i, 0, b"data", 0, i, True) for i in (1, 2))
     path = tmp_path / "wal_000001.seg"
