@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import entry_bytes, overflows
 from ..schema import Corruption
 from ..sources.shared import written
-from .order import with_position, with_running, with_running_sum
+from .order import by_crowd, with_position, with_running, with_running_sum
 
 
 def assign_lsns(writes: DataFrame, next_lsn: int = 1, order: list[str] | None = None) -> DataFrame:
@@ -25,9 +25,15 @@ def link_previous(log: DataFrame, compat: bool = False) -> DataFrame:
     log = log.drop("prev_lsn")
     if not compat:
         return with_running(log, ["lsn"], {"prev_lsn": ("max", "lsn")}, ["page_id"], before=True).withColumn("prev_lsn", F.coalesce("prev_lsn", F.lit(0)))
-    batches = log.groupBy("page_id", "batch_id").agg(F.max("lsn").alias("_top"))
-    heads = with_running(batches, ["batch_id"], {"prev_lsn": ("max", "_top")}, ["page_id"], before=True).drop("_top")
-    return log.join(heads, ["page_id", "batch_id"]).withColumn("prev_lsn", F.coalesce("prev_lsn", F.lit(0)))
+    # Small pages are dealt once and sorted once: a record takes what its batch's first record finds before it.
+    small, large = by_crowd(log, ["page_id"])
+    before = F.expr("max(lsn) over (partition by page_id order by batch_id, lsn rows between unbounded preceding and 1 preceding)")
+    linked = small.withColumn("_before", before).withColumn("prev_lsn", F.expr("first(_before) over (partition by page_id, batch_id order by lsn)")).drop("_before")
+    if large is not None:
+        batches = large.groupBy("page_id", "batch_id").agg(F.max("lsn").alias("_top"))
+        heads = with_running(batches, ["batch_id"], {"prev_lsn": ("max", "_top")}, ["page_id"], before=True).drop("_top")
+        linked = linked.unionByName(large.join(heads, ["page_id", "batch_id"]))
+    return linked.withColumn("prev_lsn", F.coalesce("prev_lsn", F.lit(0)))
 
 
 def mark_ends(writes: DataFrame) -> DataFrame:

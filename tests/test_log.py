@@ -108,6 +108,32 @@ def test_links_and_lost_writes(spark):
     assert L.broken_links(strict.where("lsn <> 1")).first()["lsn"] == 2
 
 
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_compat_links_against_a_plain_loop(spark, monkeypatch, most):
+    """Batches of several records of a page, LSNs not in batch order, one crowded page."""
+    monkeypatch.setattr(order, "RANGE_ROWS", most)
+    rng = random.Random(6)
+    rows = [(i + 1, rng.choice([0, 0, 0, 1, 2]), 0, "aa", 1, rng.randrange(60)) for i in range(240)]
+    want = {lsn: max((r[0] for r in rows if r[1] == page and r[5] < batch), default=0) for lsn, page, *_, batch in rows}
+    linked = L.link_previous(make(spark, rng.sample(rows, len(rows))), compat=True)
+    assert {r.lsn: r.prev_lsn for r in linked.collect()} == want and set(linked.columns) == {*make(spark, rows).columns, "prev_lsn"}
+
+
+def test_compat_links_shuffle_once(spark):
+    """Pages that are not crowded are dealt and sorted once, and joined with nothing."""
+    log = make(spark, [(i + 1, i % 3, 0, "01", 1, i // 2) for i in range(30)])
+    plan = L.link_previous(log, compat=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_ranges_by_halving(spark):
+    """The range of a value is the number of bounds below it, for values, ties and nulls, in log n steps a row."""
+    bounds = [float(x) for x in range(0, 1998, 2)]
+    values = spark.createDataFrame([(float(x),) for x in [-5, 0, 1, 2, 3, 997, 1996, 1997, 5000]] + [(None,)], "v double")
+    found = values.select("v", order._below(F.array(*[F.lit(b) for b in bounds]), len(bounds), F.col("v")).alias("r")).collect()
+    assert {r.v: r.r for r in found} == {v: sum(b < v for b in bounds) if v is not None else 0 for v in [-5.0, 0.0, 1.0, 2.0, 3.0, 997.0, 1996.0, 1997.0, 5000.0, None]}
+
+
 def image(spark, log, rp=1 << 62, page=1):
     row = P.snapshot(log, rp).where(F.col("page_id") == page).first()
     return bytes(row["page"]) if row else None
