@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_bytes, segment_filename
 from ..schema import HEADER_BYTES
-from .order import with_running
+from .order import range_of, with_running
 
 
 #: Records of which a task holds the sizes at a time.
@@ -22,23 +22,33 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, LSNs, sizes) of each range, from (range, lsn, size) rows sorted by range and LSN; no more than one range is held."""
-    own, lsns, sizes = None, [], []
+def _ranges(batches: Iterator[pa.RecordBatch], most: int = RANGE_RECORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, LSNs, sizes) of each range, from (range, lsn, size) rows sorted by range and LSN; a range of more than ``most``
+    records comes in pieces of that many.  No more than one piece is held, and where pieces end does not depend on the batches."""
+    own, held, lsns, sizes = None, 0, [], []
     for batch in batches:
         of, lsn, size = (c.to_numpy() for c in batch.columns)
-        ends = np.flatnonzero(np.diff(of, append=of[-1:] + 1)) + 1
-        for a, b in zip(np.r_[0, ends][:-1], ends, strict=True):
-            if of[a] != own:
+        a = 0
+        while a < len(of):
+            if of[a] != own or held == most:
                 if lsns:
                     yield own, np.concatenate(lsns), np.concatenate(sizes)
-                own, lsns, sizes = int(of[a]), [], []
+                own, held, lsns, sizes = int(of[a]), 0, [], []
+            b = min(int(np.searchsorted(of, own, side="right")), a + most - held)
             lsns.append(lsn[a:b].copy())
             sizes.append(size[a:b].copy())
+            held, a = held + b - a, b
     if lsns:
         yield own, np.concatenate(lsns), np.concatenate(sizes)
 
 
+def _range(log: DataFrame, low: int, high: int, records: int, parts: int) -> Column:
+    """The range of each record, by width; by quantiles where LSNs have gaps, since most records could fall into one range of a width."""
+    if high - low < 2 * records:
+        return F.floor((F.col("lsn") - low) / max(1, -(-(high - low + 1) // parts)))
+    return range_of(log, ["lsn"], parts).cast("long")
+
+
 def _next_starts(total: np.ndarray, most: int) -> np.ndarray:
     """For a segment that starts at each record of a range: where the next one starts (the number of records if not in the range)."""
     n = len(total) - 1
@@ -66,28 +76,28 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
     the bytes it finds open only up to its first new segment.  Each range works that out for itself,
     the driver chains a few numbers a range, and each range then assigns its records.
     """
-    span = log.agg(F.min("lsn"), F.max("lsn"), F.count("*")).first()
-    if span[0] is None:
+    low, high, records = log.agg(F.min("lsn"), F.max("lsn"), F.count("lsn")).first()
+    if low is None:
         return log.withColumn("segment_id", F.lit(first_id).cast("long")).withColumn("file_offset", F.lit(0).cast("long"))
-    parts = parts or max(1, -(-span[2] // RANGE_RECORDS))
-    width = max(1, -(-(span[1] - span[0] + 1) // parts))
+    piece = RANGE_RECORDS
+    by = _range(log, low, high, records, parts or max(1, -(-records // piece)))
     size = F.coalesce(entry_bytes(F.col("data")), F.lit(HEADER_BYTES).cast("long"))
-    sized = log.where("lsn is not null").select(F.floor((F.col("lsn") - span[0]) / width).alias("range"), "lsn", size.alias("size"))
-    dealt = sized.repartition("range").sortWithinPartitions("range", "lsn")
+    sized = log.where("lsn is not null").select(by.alias("range"), "lsn", size.alias("size"))
+    dealt = sized.repartition("range").sortWithinPartitions("range", "lsn", "size")
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, sizes in _ranges(batches):
+        for _, lsn, sizes in _ranges(batches, piece):
             total = np.r_[0, np.cumsum(sizes)]
             turns, left = _ends(sizes, segment_bytes)
             # With b bytes open, the first new segment starts at the first record i with b + total[i + 1] > most.
             first = np.arange(min(len(sizes), int(np.searchsorted(total, segment_bytes, side="right"))))
-            yield _batch(range=np.full(len(first), key), fits=segment_bytes - total[first + 1], turns=turns[first] + 1, left=left[first], bytes=np.full(len(first), total[-1]))
+            yield _batch(begins=np.full(len(first), lsn[0]), fits=segment_bytes - total[first + 1], turns=turns[first] + 1, left=left[first], bytes=np.full(len(first), total[-1]))
 
-    outlines = dealt.mapInArrow(outline, "range long, fits long, turns long, left long, bytes long")
+    outlines = dealt.mapInArrow(outline, "begins long, fits long, turns long, left long, bytes long")
     segment, open_bytes, starts = first_id, 0, {}
     held = {}
     for row in outlines.collect():
-        held.setdefault(row["range"], []).append(row)
+        held.setdefault(row["begins"], []).append(row)
     for key in sorted(held):
         rows = held[key]
         starts[key] = segment, open_bytes
@@ -103,9 +113,9 @@ def assign_segments(log: DataFrame, segment_bytes: int, first_id: int = 1, parts
             open_bytes += rows[0]["bytes"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lsn, sizes in _ranges(batches):
+        for _, lsn, sizes in _ranges(batches, piece):
             total = np.r_[0, np.cumsum(sizes)]
-            segment, held = starts[key]
+            segment, held = starts[int(lsn[0])]
             to = _next_starts(total, segment_bytes)
             begins = [int(np.searchsorted(total[1:], segment_bytes - held, side="right")) if held else int(to[0])]
             while begins[-1] < len(sizes):  # a step a segment

@@ -65,6 +65,27 @@ def test_cooling_over_many_ranges(spark, monkeypatch):
     assert [r.tier for r in want] == ["Cold"] * (len(want) - 4) + ["Hot"] * 4
 
 
+def test_cooling_with_gaps_in_the_lsns(spark, monkeypatch):
+    """A range with most records comes in pieces, and records far from the others do not put the rest into one range."""
+    n = 3 * S.RANGE_RECORDS + 5
+    batches = [S._batch(range=S.np.zeros(b - a), lsn=S.np.arange(a, b), size=S.np.arange(a, b)) for a, b in ((0, 7), (7, n - 9), (n - 9, n))]
+    pieces = list(S._ranges(iter(batches)))
+    assert [len(lsn) for _, lsn, _ in pieces] == [S.RANGE_RECORDS] * 3 + [5]
+    assert [int(lsn[0]) for _, lsn, _ in pieces] == [i * S.RANGE_RECORDS for i in range(4)] and all((lsn == size).all() for _, lsn, size in pieces)
+
+    rng = random.Random(6)
+    lsns = [*range(5, 300), 10**6, *range(10**12, 10**12 + 50)]
+    sizes = [rng.randrange(0, 90) for _ in lsns]
+    log = spark.createDataFrame([(lsn, 1, 0, bytearray(n), True) for lsn, n in zip(lsns, sizes, strict=True)], "lsn long, page_id long, offset int, data binary, is_mtr_end boolean")
+    monkeypatch.setattr(S, "RANGE_RECORDS", 20)
+    rows = S.assign_segments(log, 400).orderBy("lsn").collect()
+    assert [r.segment_id - 1 for r in rows] == list(S.iterate_sizes((s + 41 for s in sizes), 400))
+    tiers = [r.tier for r in S.cool(S.segment_table(S.assign_segments(log, 400)), 3).orderBy("id").collect()]
+    assert tiers == ["Cold"] * (rows[-1].segment_id - 4) + ["Hot"] * 4
+    by = S._range(log, lsns[0], lsns[-1], len(lsns), 18)
+    assert log.groupBy(by.alias("range")).count().agg(F.max("count")).first()[0] <= 30
+
+
 def test_cooling(spark):
     placed = S.assign_segments(sized(spark, [10] * 10), 60)
     table = S.segment_table(placed)
